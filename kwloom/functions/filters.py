@@ -66,7 +66,7 @@ def numeric_noise(keyword: Column | str) -> Column:
     kw = tx.as_col(keyword)
     parts = tx.words(kw)
     numeric = F.size(F.filter(parts, lambda w: w.rlike(r"^\p{Nd}+$")))
-    return kw.rlike(rf"^(?:\p{{Nd}}|{tx.SPACE}|[-.])+$") | (
+    return kw.rlike(r"^[\p{Nd}\s\p{Z}\x1c-\x1f\x85.-]+$") | (
         (F.size(parts) > 0) & (numeric * 2 > F.size(parts))
     )
 
@@ -131,11 +131,12 @@ def phrase_invalid(
     """Linguistic check; ``has_noun`` replaces the common-word rule when tags exist."""
     kw = tx.strip(F.lower(tx.as_col(keyword)))
     parts = tx.words(kw)
-    names, sp = tx.alternatives(temporal_names), tx.SPACE
-    year = r"\p{Nd}{4}"
-    temporal = kw.rlike(
-        f"^(?:{names}|{year}|q[1-4](?:{sp}+{year})?|{year}-{year})(?:{sp}+(?:{names}|{year}))*$"
-    )
+    names, year = tx.literal_array(temporal_names), r"\p{Nd}{4}"
+    first = F.get(parts, F.lit(0))
+    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    temporal = (
+        F.array_contains(names, first) | first.rlike(f"^(?:{year}|q[1-4]|{year}-{year})$")
+    ) & F.forall(rest, lambda w: F.array_contains(names, w) | w.rlike(f"^{year}$"))
     common = tx.literal_array(common_words)
     weak = (
         (F.size(parts) > 1) & F.forall(parts, lambda w: F.array_contains(common, w))

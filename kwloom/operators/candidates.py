@@ -35,7 +35,7 @@ def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _content_sentences(text: Column | str) -> Column:
     """Cleaned sentences of three or more raw words, as an array."""
     raw = F.filter(tx.sentences(text), lambda s: F.size(F.split(s, rf"{tx.SPACE}+")) >= 3)
-    return F.transform(raw, tx.clean_text)
+    return F.transform(raw, lambda s: tx.clean_text(s))
 
 
 def clean_sentences(docs: DataFrame, text_col: str = "text") -> DataFrame:

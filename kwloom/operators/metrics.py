@@ -108,11 +108,11 @@ def keyword_metrics(
 
 def mean_direction(vectors: DataFrame, vector_col: str) -> DataFrame:
     """One row: the mean of the unit vectors, from per-dimension sums."""
-    norm = F.sqrt(F.aggregate(F.col("v"), F.lit(0.0), lambda acc, x: acc + x * x))
+    v = F.col(vector_col).cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    unit = tx.let(norm, lambda n: F.transform(v, lambda x: x / n))
     dims = (
-        vectors.select(F.col(vector_col).cast("array<double>").alias("v"))
-        .select("v", norm.alias("norm"))
-        .select(F.posexplode(F.transform("v", lambda x: x / F.col("norm"))).alias("dim", "x"))
+        vectors.select(F.posexplode(unit).alias("dim", "x"))
         .groupBy("dim")
         .agg(F.avg("x").alias("x"))
     )
@@ -132,16 +132,18 @@ def naturalness(
 
     Mean cosine is linear in the references, so each set shrinks to one mean vector.
     """
-    good = mean_direction(natural, vector_col).scalar()
-    bad = mean_direction(unnatural, vector_col).scalar()
+    table = keywords.withColumn("_good", mean_direction(natural, vector_col).scalar()).withColumn(
+        "_bad", mean_direction(unnatural, vector_col).scalar()
+    )
     v = F.col(vector_col).cast("array<double>")
 
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, p: s + p)
 
     size = F.sqrt(dot(v, v))
-    gap = dot(v, good) / size - dot(v, bad) / size
-    return keywords.withColumn(out_col, tx.clamp((gap + F.lit(1.0)) / F.lit(2.0)))
+    gap = dot(v, F.col("_good")) / size - dot(v, F.col("_bad")) / size
+    score = tx.clamp((gap + F.lit(1.0)) / F.lit(2.0))
+    return table.withColumn(out_col, score).drop("_good", "_bad")
 
 
 def with_opportunity(
