@@ -19,11 +19,12 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def literal_array(values: Iterable) -> Column:
+def literal_array(values: Iterable[str]) -> Column:
+    """A constant string array; written as one literal, it folds when the plan is made."""
     values = list(values)
     if not values:
         return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit("\u001f".join(values)), "\u001f")
 
 
 def java_pattern(pattern: str) -> str:
@@ -143,15 +144,9 @@ def edge_stopword(gram: Column | str, stopwords: Iterable[str]) -> Column:
 
 
 def title_case(col: Column | str) -> Column:
-    """Upper-case each letter run's first letter, lower-case the rest."""
+    """Each run of letters in title case, also after digits, hyphens and apostrophes."""
     runs = F.regexp_extract_all(as_col(col), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(
-        F.transform(
-            runs,
-            lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2)))),
-        ),
-        "",
-    )
+    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
 
 
 def contains_any(col: Column, terms: Iterable[str]) -> Column:

@@ -51,3 +51,14 @@ def mode_per_group(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return counts.groupBy(key).agg(
         F.min_by(value, F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))).alias(out)
     )
+
+
+def mean(col: Column | str) -> Column:
+    """Average over exact decimal sums, so the result does not depend on row order."""
+    value = F.col(col) if isinstance(col, str) else col
+    return exact_sum(value) / F.count(value)
+
+
+def exact_sum(col: Column | str) -> Column:
+    value = F.col(col) if isinstance(col, str) else col
+    return F.sum(value.cast("decimal(28,12)")).cast("double")

@@ -12,7 +12,7 @@ from kwloom.functions import classify
 from kwloom.functions import text as tx
 from kwloom.functions.entities import extract_entities
 from kwloom.operators.assembly import rank_order
-from kwloom.operators.common import mode_per_group, scalar, top_per_group
+from kwloom.operators.common import exact_sum, mean, mode_per_group, scalar, top_per_group
 
 
 def _rows() -> Column:
@@ -23,9 +23,9 @@ def executive_summary(items: DataFrame, high: float = 0.5) -> DataFrame:
     return items.agg(
         _rows().alias("total_keywords"),
         F.count_distinct("cluster").alias("unique_clusters"),
-        tx.fixed(F.avg("relative_interest"), 2).alias("avg_relative_interest"),
-        tx.fixed(F.avg("difficulty"), 2).alias("avg_difficulty"),
-        tx.fixed(F.avg("opportunity_score"), 2).alias("avg_opportunity"),
+        tx.fixed(mean("relative_interest"), 2).alias("avg_relative_interest"),
+        tx.fixed(mean("difficulty"), 2).alias("avg_difficulty"),
+        tx.fixed(mean("opportunity_score"), 2).alias("avg_opportunity"),
         F.count(F.when(F.col("opportunity_score") >= high, 1)).alias("high_priority"),
     )
 
@@ -41,11 +41,11 @@ def intent_distribution(items: DataFrame) -> DataFrame:
 
 
 def top_clusters(items: DataFrame, n: int = 5) -> DataFrame:
-    means = items.groupBy("cluster").agg(F.avg("opportunity_score").alias("mean"))
+    means = items.groupBy("cluster").agg(mean("opportunity_score").alias("average"))
     return (
-        means.orderBy(F.desc(F.round("mean", 9)), F.asc("cluster"))
+        means.orderBy(F.desc(F.round("average", 9)), F.asc("cluster"))
         .limit(n)
-        .select("cluster", tx.fixed(F.col("mean"), 3).alias("avg_opportunity"))
+        .select("cluster", tx.fixed(F.col("average"), 3).alias("avg_opportunity"))
     )
 
 
@@ -53,7 +53,7 @@ def site_architecture(items: DataFrame, shown: int = 5) -> DataFrame:
     """Topic, cluster and first keywords with their scores, one row per node."""
     nodes = (
         items.rollup("parent_topic", "cluster")
-        .agg(F.avg("opportunity_score").alias("score"), F.grouping_id().alias("level"))
+        .agg(mean("opportunity_score").alias("score"), F.grouping_id().alias("level"))
         .filter("level < 3")
     )
     upper = nodes.select(
@@ -83,10 +83,10 @@ def cluster_analysis(items: DataFrame) -> DataFrame:
         .groupBy("cluster")
         .agg(
             F.count("keyword").alias("count"),
-            tx.rounded(F.sum("relative_interest"), 3).alias("total_interest"),
-            tx.rounded(F.avg("relative_interest"), 3).alias("avg_interest"),
-            tx.rounded(F.avg("difficulty"), 3).alias("avg_difficulty"),
-            tx.rounded(F.avg("opportunity_score"), 3).alias("avg_opportunity"),
+            tx.rounded(exact_sum("relative_interest"), 3).alias("total_interest"),
+            tx.rounded(mean("relative_interest"), 3).alias("avg_interest"),
+            tx.rounded(mean("difficulty"), 3).alias("avg_difficulty"),
+            tx.rounded(mean("opportunity_score"), 3).alias("avg_opportunity"),
         )
         .orderBy(F.desc("avg_opportunity"), F.asc("cluster"))
     )
@@ -98,9 +98,9 @@ def intent_analysis(items: DataFrame) -> DataFrame:
         .groupBy("intent")
         .agg(
             F.count("keyword").alias("count"),
-            tx.rounded(F.avg("relative_interest"), 3).alias("avg_interest"),
-            tx.rounded(F.avg("difficulty"), 3).alias("avg_difficulty"),
-            tx.rounded(F.avg("opportunity_score"), 3).alias("avg_opportunity"),
+            tx.rounded(mean("relative_interest"), 3).alias("avg_interest"),
+            tx.rounded(mean("difficulty"), 3).alias("avg_difficulty"),
+            tx.rounded(mean("opportunity_score"), 3).alias("avg_opportunity"),
         )
         .orderBy(F.desc("count"), F.asc("intent"))
     )
@@ -143,7 +143,7 @@ def location_analysis(
             F.count("keyword").alias("total_keywords"),
             F.count(F.when(F.col("e.is_local"), 1)).alias("local_keywords"),
             F.count(F.when(F.col("e.is_contracting"), 1)).alias("contracting_keywords"),
-            tx.rounded(F.avg("opportunity_score"), 3).alias("avg_opportunity"),
+            tx.rounded(mean("opportunity_score"), 3).alias("avg_opportunity"),
         )
         .orderBy(F.desc("total_keywords"), F.asc("emirate"))
     )
@@ -162,7 +162,7 @@ def recommendations(items: DataFrame, geo: str = "ae", high: float = 0.6) -> Dat
         )
 
     strong = items.agg(F.count(F.when(F.col("opportunity_score") >= high, 1)).alias("n")).filter("n > 0")
-    means = items.groupBy("cluster").agg(F.avg("opportunity_score").alias("m"))
+    means = items.groupBy("cluster").agg(mean("opportunity_score").alias("m"))
     best = means.agg(
         F.min_by("cluster", F.struct((-F.round("m", 9)).alias("m"), "cluster")).alias("cluster")
     ).filter("cluster is not null")
@@ -224,7 +224,7 @@ def seo_metadata(items: DataFrame, brand: str = "Brand", location: str = "Abu Dh
         _listed("secondary_keywords", 2, 4),
     )
     totals = table.groupBy("cluster").agg(
-        _rows().alias("keywords_count"), F.avg("opportunity_score").alias("avg_opportunity")
+        _rows().alias("keywords_count"), mean("opportunity_score").alias("avg_opportunity")
     )
     primary = tx.title_case(F.coalesce("primary_keyword", "cluster"))
     topic = tx.title_case(F.coalesce("topic", "cluster"))
@@ -277,9 +277,9 @@ def _brief_parts(items: DataFrame) -> DataFrame:
     """One row per cluster with everything a brief prints."""
     means = items.groupBy("cluster").agg(
         _rows().alias("keywords"),
-        F.avg(F.coalesce("relative_interest", F.lit(0.0))).alias("interest"),
-        F.avg(F.coalesce("difficulty", F.lit(0.0))).alias("difficulty"),
-        F.avg(F.coalesce("ctr_potential", F.lit(1.0))).alias("ctr"),
+        mean(F.coalesce("relative_interest", F.lit(0.0))).alias("interest"),
+        mean(F.coalesce("difficulty", F.lit(0.0))).alias("difficulty"),
+        mean(F.coalesce("ctr_potential", F.lit(1.0))).alias("ctr"),
     )
     known = items.select(
         "cluster",

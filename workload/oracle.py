@@ -82,7 +82,8 @@ def re2(pattern: str) -> str:
 def title(x: str) -> str:
     return (
         rf"array_to_string(list_transform(regexp_extract_all({x}, '\p{{L}}+|[^\p{{L}}]+'), "
-        "lambda r: upper(substring(r, 1, 1)) || lower(substring(r, 2))), '')"
+        "lambda r: CASE WHEN substring(r, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substring(r, 1, 1)) END "
+        "|| lower(substring(r, 2))), '')"
     )
 
 
@@ -791,7 +792,7 @@ def topic_sql(stop: Iterable[str]) -> str:
 kw("e8_topic_fallback", f"{topic_sql(wl.TOPIC_STOPWORDS)} AS topic")
 add(
     "e9_parent_topic",
-    f"""SELECT keyword, CASE WHEN length(keyword) % 3 = 0 THEN lower(upper({topic_sql(lx.TOPIC_STOPWORDS)}))
+    f"""SELECT keyword, CASE WHEN length(keyword) % 3 = 0 THEN replace({topic_sql(lx.TOPIC_STOPWORDS)}, 'ß', 'ss')
   WHEN length(keyword) % 2 = 0 THEN cluster ELSE split_part(keyword, ' ', 1) END AS parent_topic FROM flagged""",
     "flagged",
 )
@@ -938,7 +939,9 @@ PLAIN = (
 )
 add(
     "h2_assemble_items",
-    f"""SELECT keyword, cluster, cluster AS parent_topic, intent, funnel_stage, {PLAIN},
+    f"""SELECT keyword, cluster,
+  CASE WHEN length(keyword) % 3 = 1 THEN replace(cluster, 'ß', 'ss') ELSE cluster END AS parent_topic,
+  intent, funnel_stage, {PLAIN},
   {joined('serp_features')} AS serp_features, estimated, validated,
   round(opportunity_score, 9) AS opportunity_score FROM items""",
     "items",
@@ -958,7 +961,7 @@ add(
 add("h5_quality_gate", "SELECT keyword, validated FROM items WHERE validated OR opportunity_score >= 0.05", "items")
 add(
     "h6_validate_schema",
-    """SELECT keyword || CASE WHEN length(keyword) % 5 = 0 THEN ' x' ELSE '' END AS keyword,
+    """SELECT replace(keyword, 'ß', 'ss') || CASE WHEN length(keyword) % 5 = 0 THEN ' x' ELSE '' END AS keyword,
   CASE WHEN length(keyword) % 7 <> 0 THEN cluster || ' b' ELSE 'unclustered' END AS cluster,
   CASE WHEN length(keyword) % 11 = 0 THEN 'odd' ELSE intent END AS intent, 'TOFU' AS funnel_stage,
   CASE WHEN length(keyword) % 2 = 0 THEN 'a|b' ELSE '' END AS serp_features,
@@ -1007,12 +1010,12 @@ add(
 )
 add(
     "i3_competitor_overlap",
-    """SELECT competitor, overlap_count, array_to_string(list_sort(both)[1:50], '|') AS overlap_keywords,
+    """SELECT competitor, overlap_count, array_to_string(list_sort(shared)[1:50], '|') AS overlap_keywords,
   (SELECT count(*) FROM items) - overlap_count AS unique_to_us_count, unique_to_them_count,
   array_to_string(list_sort(only_them)[1:20], '|') AS unique_to_them_sample,
   round(overlap_count / (SELECT count(*) FROM items) * 100, 9) AS overlap_percentage FROM (
   SELECT competitor, count(i.keyword) AS overlap_count, count(*) - count(i.keyword) AS unique_to_them_count,
-    coalesce(list(r.keyword) FILTER (i.keyword IS NOT NULL), []) AS both,
+    coalesce(list(r.keyword) FILTER (i.keyword IS NOT NULL), []) AS shared,
     coalesce(list(r.keyword) FILTER (i.keyword IS NULL), []) AS only_them
   FROM rank_kw r LEFT JOIN items i ON i.keyword = r.keyword GROUP BY competitor)""",
     "items", "rank_kw",
@@ -1407,7 +1410,7 @@ kw("m3_parse_verdicts", f"{VERDICT} AS valid")
 add("m3_verify_filter", f"SELECT keyword, freq FROM kw WHERE {VERDICT}", "kw")
 kw(
     "m4_parse_topics",
-    f"""CASE WHEN {TOLD} AND length(keyword) % 3 = 0 THEN 'topic ' || trim(substring(keyword, 1, 3))
+    f"""CASE WHEN {TOLD} AND length(keyword) % 3 = 0 THEN 'topic ' || trim(replace(substring(keyword, 1, 3), 'ß', 'ss'))
   ELSE {topic_sql(lx.TOPIC_STOPWORDS)} END AS topic""",
 )
 
@@ -1477,8 +1480,8 @@ add(
 add(
     "o1_executive_summary",
     """SELECT count(*) AS total_keywords, count(DISTINCT cluster) AS unique_clusters,
-  printf('%.2f', avg(relative_interest)) AS avg_relative_interest, printf('%.2f', avg(difficulty)) AS avg_difficulty,
-  printf('%.2f', avg(opportunity_score)) AS avg_opportunity, count(*) FILTER (opportunity_score >= 0.5) AS high_priority FROM items""",
+  printf('%.2f', (sum((relative_interest)::DECIMAL(28,12))::DOUBLE / count(*))) AS avg_relative_interest, printf('%.2f', (sum((difficulty)::DECIMAL(28,12))::DOUBLE / count(*))) AS avg_difficulty,
+  printf('%.2f', (sum((opportunity_score)::DECIMAL(28,12))::DOUBLE / count(*))) AS avg_opportunity, count(*) FILTER (opportunity_score >= 0.5) AS high_priority FROM items""",
     "items",
 )
 add(
@@ -1490,14 +1493,14 @@ FROM (SELECT intent, count(*) AS n FROM items GROUP BY intent)""",
 add(
     "o3_top_clusters",
     """SELECT cluster, printf('%.3f', m) AS avg_opportunity FROM (
-  SELECT cluster, avg(opportunity_score) AS m FROM items GROUP BY cluster ORDER BY round(m, 9) DESC, cluster LIMIT 5)""",
+  SELECT cluster, (sum((opportunity_score)::DECIMAL(28,12))::DOUBLE / count(*)) AS m FROM items GROUP BY cluster ORDER BY round(m, 9) DESC, cluster LIMIT 5)""",
     "items",
 )
 add(
     "o4_site_architecture",
     f"""SELECT parent_topic, '' AS cluster, 0::BIGINT AS position, 'L1 - Pillar' AS level, {title('parent_topic')} AS name, '' AS intent,
-  printf('%.2f', avg(opportunity_score)) AS opportunity FROM items GROUP BY parent_topic
-UNION ALL SELECT parent_topic, cluster, 0, 'L2 - Cluster', cluster, '', printf('%.2f', avg(opportunity_score)) FROM items GROUP BY parent_topic, cluster
+  printf('%.2f', (sum((opportunity_score)::DECIMAL(28,12))::DOUBLE / count(*))) AS opportunity FROM items GROUP BY parent_topic
+UNION ALL SELECT parent_topic, cluster, 0, 'L2 - Cluster', cluster, '', printf('%.2f', (sum((opportunity_score)::DECIMAL(28,12))::DOUBLE / count(*))) FROM items GROUP BY parent_topic, cluster
 UNION ALL SELECT parent_topic, cluster, r, 'L3 - Keyword', keyword, intent, printf('%.2f', opportunity_score) FROM (
   SELECT *, row_number() OVER (PARTITION BY parent_topic, cluster ORDER BY {RANKING}) AS r FROM items) WHERE r <= 5""",
     "items",
@@ -1510,14 +1513,14 @@ def r3(x: str) -> str:
 
 add(
     "o5_cluster_analysis",
-    f"""SELECT cluster, count(*) AS count, {r3('sum(relative_interest)')} AS total_interest, {r3('avg(relative_interest)')} AS avg_interest,
-  {r3('avg(difficulty)')} AS avg_difficulty, {r3('avg(opportunity_score)')} AS avg_opportunity FROM items GROUP BY cluster""",
+    f"""SELECT cluster, count(*) AS count, {r3('sum(relative_interest::DECIMAL(28,12))::DOUBLE')} AS total_interest, {r3('(sum((relative_interest)::DECIMAL(28,12))::DOUBLE / count(*))')} AS avg_interest,
+  {r3('(sum((difficulty)::DECIMAL(28,12))::DOUBLE / count(*))')} AS avg_difficulty, {r3('(sum((opportunity_score)::DECIMAL(28,12))::DOUBLE / count(*))')} AS avg_opportunity FROM items GROUP BY cluster""",
     "items",
 )
 add(
     "o6_intent_analysis",
-    f"""SELECT intent, count(*) AS count, {r3('avg(relative_interest)')} AS avg_interest, {r3('avg(difficulty)')} AS avg_difficulty,
-  {r3('avg(opportunity_score)')} AS avg_opportunity FROM items GROUP BY intent""",
+    f"""SELECT intent, count(*) AS count, {r3('(sum((relative_interest)::DECIMAL(28,12))::DOUBLE / count(*))')} AS avg_interest, {r3('(sum((difficulty)::DECIMAL(28,12))::DOUBLE / count(*))')} AS avg_difficulty,
+  {r3('(sum((opportunity_score)::DECIMAL(28,12))::DOUBLE / count(*))')} AS avg_opportunity FROM items GROUP BY intent""",
     "items",
 )
 add(
@@ -1547,7 +1550,7 @@ define("item_tags", tagged("items"), "items")
 add(
     "o9_location_analysis",
     f"""SELECT emirate, count(*) AS total_keywords, count(*) FILTER (is_local) AS local_keywords,
-  count(*) FILTER (is_contracting) AS contracting_keywords, {r3('avg(opportunity_score)')} AS avg_opportunity
+  count(*) FILTER (is_contracting) AS contracting_keywords, {r3('(sum((opportunity_score)::DECIMAL(28,12))::DOUBLE / count(*))')} AS avg_opportunity
 FROM item_tags WHERE emirate IS NOT NULL GROUP BY emirate""",
     "item_tags",
 )
@@ -1559,7 +1562,7 @@ add(
 FROM (SELECT count(*) FILTER (opportunity_score >= 0.2) AS n FROM items) WHERE n > 0
 UNION ALL SELECT 2, 'HIGH', 'Content Strategy', 'Focus content efforts on ''' || cluster || ''' cluster',
   'Develop comprehensive pillar content for this topic' FROM (
-  SELECT cluster FROM items GROUP BY cluster ORDER BY round(avg(opportunity_score), 9) DESC, cluster LIMIT 1)
+  SELECT cluster FROM items GROUP BY cluster ORDER BY round((sum((opportunity_score)::DECIMAL(28,12))::DOUBLE / count(*)), 9) DESC, cluster LIMIT 1)
 UNION ALL SELECT 3, 'MEDIUM', 'Content Format', 'Most keywords are ' || intent || ' intent (' || n || ' keywords)',
   'Optimize content format for ' || intent || ' search intent' FROM (
   SELECT intent, count(*) AS n FROM items GROUP BY intent ORDER BY n DESC, intent LIMIT 1)
@@ -1582,7 +1585,7 @@ add(
     SELECT *, {title('primary_keyword')} AS tprimary, {title('topic')} AS ttopic FROM (
       SELECT cluster, max(keyword) FILTER (r = 1) AS primary_keyword, max(parent_topic) FILTER (r = 1) AS topic,
         max(intent) FILTER (r = 1) AS intent, coalesce(list(keyword ORDER BY r) FILTER (r BETWEEN 2 AND 4), []) AS sec,
-        count(*) AS n, avg(opportunity_score) AS m FROM (
+        count(*) AS n, (sum((opportunity_score)::DECIMAL(28,12))::DOUBLE / count(*)) AS m FROM (
         SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY opportunity_score DESC, keyword) AS r FROM items)
       GROUP BY cluster)))""",
     "items",
@@ -1590,7 +1593,7 @@ add(
 define(
     "parts",
     f"""SELECT z.*, i.intent AS primary_intent, f.funnel_stage AS funnel, coalesce(q.questions, []) AS questions FROM (
-    SELECT cluster, count(*) AS n, avg(relative_interest) AS interest, avg(difficulty) AS difficulty, avg(ctr_potential) AS ctr,
+    SELECT cluster, count(*) AS n, (sum((relative_interest)::DECIMAL(28,12))::DOUBLE / count(*)) AS interest, (sum((difficulty)::DECIMAL(28,12))::DOUBLE / count(*)) AS difficulty, (sum((ctr_potential)::DECIMAL(28,12))::DOUBLE / count(*)) AS ctr,
       list(keyword ORDER BY r) FILTER (r <= 10) AS targets FROM (
       SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY opportunity_score DESC, keyword) AS r FROM items) GROUP BY cluster) z
   JOIN (SELECT cluster, intent FROM (SELECT cluster, intent, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, intent) AS r
@@ -1679,5 +1682,76 @@ add(
 )
 
 
+# --- flagship ---------------------------------------------------------------------------------
+
+DEFAULT_ARTIFACT = {
+    "codes": lx.MARKET_CODES, "navigation": lx.NAVIGATION_EXACT, "auth_terms": lx.AUTH_TERMS,
+    "switches": lx.LANGUAGE_SWITCHES, "leads": lx.QUERY_LEADS, "switch_codes": lx.SWITCH_CODES,
+    "prepositions": lx.CODE_PREPOSITIONS, "artifact_tokens": lx.ARTIFACT_TOKENS,
+}
+DEFAULT_STOP = {"prefixes": lx.STOP_PHRASE_PREFIXES, "geo_tokens": lx.GEO_TOKENS, "fillers": lx.STOP_PHRASE_FILLERS}
+DEFAULT_CONFLICT = {"cities": lx.CONFLICT_CITIES, "connectors": lx.CONFLICT_CONNECTORS}
+DEFAULT_PHRASE = {
+    "navigation": lx.NAVIGATION_PHRASES, "prepositions": lx.DANGLING_PREPOSITIONS,
+    "common_words": lx.COMMON_WORDS, "temporal_names": lx.TEMPORAL_NAMES,
+}
+REJECTED = " OR ".join(
+    [
+        artifact_sql("keyword", DEFAULT_ARTIFACT), grammar_sql("keyword", lx.INVALID_STARTS),
+        conflict_sql("keyword", DEFAULT_CONFLICT), any_token(TOK, lx.NEGATIVE_TERMS),
+        stop_phrase_sql("keyword", DEFAULT_STOP), numeric_sql("keyword"),
+        "NOT (NOT contains(keyword, 'near me') OR (len(string_split(keyword, 'near me')) = 2 AND ends_with(keyword, 'near me')))",
+        f"len({TOK}) NOT BETWEEN 2 AND 6", "length(keyword) < 5", phrase_sql("keyword", DEFAULT_PHRASE),
+    ]
+)
+define(
+    "kept",
+    f"""SELECT keyword, coalesce(c.n, 0) AS freq, false AS validated, {starts_any('keyword', lx.QUESTION_LEADS, ' ')} AS is_question
+  FROM kw LEFT JOIN counted c ON c.g = keyword WHERE NOT ({REJECTED})""",
+    "kw", "counted",
+)
+
+
+def default_intent() -> str:
+    cases = []
+    for name, terms in lx.INTENT_RULES.items():
+        cond = f"({contains_any('keyword', [t for t in terms if ' ' in t])} OR {any_token(TOK, [t for t in terms if ' ' not in t])})"
+        cases.append((cond, s(name)))
+    cases += [(any_token(TOK, t), s(n)) for n, t in lx.INTENT_SIGNALS.items()]
+    return case(cases, "'informational'")
+
+
+def default_ctr() -> str:
+    hits = {f: contains_any("keyword", t) for f, t in lx.SERP_FEATURE_TRIGGERS}
+    parts = [(c, f) for f, c in hits.items()]
+    parts += [
+        (f"(intent = 'informational' AND NOT {hits['featured_snippet']})", "people_also_ask"),
+        ("(intent IN ('transactional', 'commercial'))", "top_ads"),
+        (f"(intent = 'local' AND NOT {hits['local_pack']})", "local_pack"),
+    ]
+    out = "1.0::DOUBLE"
+    for cond, f in parts:
+        out = f"({out} * CASE WHEN {cond} THEN 1.0::DOUBLE - {lx.SERP_FEATURE_IMPACT[f]}::DOUBLE ELSE 1.0::DOUBLE END)"
+    return f"greatest(0.2::DOUBLE, least(1.0::DOUBLE, {out}))"
+
+
+define(
+    "kept_raw",
+    f"""SELECT *, {default_intent()} AS intent, {volume_sql(N_DOCS)} AS v,
+    {difficulty_sql(N_DOCS, heads=lx.HEAD_TERMS)} AS d FROM kept""",
+    "kept",
+)
+add(
+    "ranked_keywords",
+    f"""SELECT keyword, freq, intent,
+  CASE intent WHEN 'informational' THEN 'TOFU' WHEN 'transactional' THEN 'BOFU' ELSE 'MOFU' END AS funnel_stage,
+  round(ri, 9) AS relative_interest, round(di, 9) AS difficulty, round(ct, 9) AS ctr_potential,
+  round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, ri * ct * (1.0::DOUBLE - di)
+    * CASE WHEN intent IN ('informational', 'navigational') THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END)), 9) AS opportunity_score
+FROM (SELECT *, {ranked('kept_raw', 'v')} AS ri, {spread('kept_raw', 'd')} AS di, {default_ctr()} AS ct FROM kept_raw)""",
+    "kept_raw",
+)
+
+
 def statements() -> dict[str, str]:
     return dict(Q)
