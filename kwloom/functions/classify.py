@@ -117,8 +117,7 @@ def topic_fallback(keyword: Column | str, stopwords: Iterable[str] = lx.TOPIC_ST
     """First telling word, else the first two words, else the keyword."""
     text = tx.as_col(keyword)
     parts = tx.words(F.lower(text))
-    stop = tx.literal_array(stopwords)
-    telling = F.filter(parts, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    telling = F.filter(parts, lambda w: (F.length(w) > 2) & ~w.isin(*stopwords))
     return (
         F.when(F.size(parts) == 0, text)
         .when(F.size(telling) > 0, F.get(telling, F.lit(0)))

@@ -37,9 +37,8 @@ def scraping_artifact(
     )
     bare_code = kw.rlike(f"^(?:.*{sp})?(?:{code})$|^(?:{code}){sp}")
     after_preposition = (size >= 2) & F.get(parts, size - 2).isin(*prepositions)
-    noise = tx.literal_array(artifact_tokens)
     substantive = F.size(
-        F.filter(parts, lambda w: (F.length(w) > 2) & ~F.array_contains(noise, w))
+        F.filter(parts, lambda w: (F.length(w) > 2) & ~w.isin(*artifact_tokens))
     )
     thin = substantive < F.when(size <= 2, 1).otherwise(2)
     return F.when(garbage, True).when(bare_code, ~after_preposition).otherwise(thin)
@@ -52,13 +51,12 @@ def stop_phrase(
     fillers: Iterable[str] = lx.STOP_PHRASE_FILLERS,
 ) -> Column:
     parts = tx.words(F.lower(tx.as_col(keyword)))
-    lead, geo = tx.literal_array(prefixes), tx.literal_array(geo_tokens)
-    empty = tx.literal_array([*prefixes, *geo_tokens, *fillers])
+    empty = [*prefixes, *geo_tokens, *fillers]
     rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    only_geo = F.array_contains(lead, F.get(parts, F.lit(0))) & F.forall(
-        rest, lambda w: F.array_contains(geo, w)
+    only_geo = F.get(parts, F.lit(0)).isin(*prefixes) & F.forall(
+        rest, lambda w: w.isin(*geo_tokens)
     )
-    nothing_left = F.forall(parts, lambda w: F.array_contains(empty, w))
+    nothing_left = F.forall(parts, lambda w: w.isin(empty))
     return (F.size(parts) >= 2) & (only_geo | nothing_left)
 
 
@@ -131,15 +129,14 @@ def phrase_invalid(
     """Linguistic check; ``has_noun`` replaces the common-word rule when tags exist."""
     kw = tx.strip(F.lower(tx.as_col(keyword)))
     parts = tx.words(kw)
-    names, year = tx.literal_array(temporal_names), r"\p{Nd}{4}"
+    names, year = list(temporal_names), r"\p{Nd}{4}"
     first = F.get(parts, F.lit(0))
     rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     temporal = (
-        F.array_contains(names, first) | first.rlike(f"^(?:{year}|q[1-4]|{year}-{year})$")
-    ) & F.forall(rest, lambda w: F.array_contains(names, w) | w.rlike(f"^{year}$"))
-    common = tx.literal_array(common_words)
+        first.isin(names) | first.rlike(f"^(?:{year}|q[1-4]|{year}-{year})$")
+    ) & F.forall(rest, lambda w: w.isin(names) | w.rlike(f"^{year}$"))
     weak = (
-        (F.size(parts) > 1) & F.forall(parts, lambda w: F.array_contains(common, w))
+        (F.size(parts) > 1) & F.forall(parts, lambda w: w.isin(*common_words))
         if has_noun is None
         else ~has_noun
     )
@@ -179,6 +176,5 @@ def is_question(keyword: Column | str, leads: Iterable[str] = lx.QUESTION_LEADS)
 
 def entirely_universal(keyword: Column | str, terms: Iterable[str] = lx.UNIVERSAL_TERMS) -> Column:
     """Every token is in a short fixed term list (see ``operators.universal`` for tables)."""
-    universal = tx.literal_array(terms)
     parts = tx.words(F.lower(tx.as_col(keyword)))
-    return (F.size(parts) > 0) & F.forall(parts, lambda w: F.array_contains(universal, w))
+    return (F.size(parts) > 0) & F.forall(parts, lambda w: w.isin(*terms))

@@ -54,8 +54,11 @@ def strip(col: Column | str) -> Column:
 
 
 def words(col: Column | str) -> Column:
-    """Whitespace-separated words; a blank string gives an empty array."""
-    return F.filter(F.split(as_col(col), rf"{SPACE}+"), lambda w: w != "")
+    """Whitespace-separated words; a blank string gives an empty array.
+
+    White space is unified first: splitting on one plain character needs no regex.
+    """
+    return F.filter(F.split(F.regexp_replace(as_col(col), rf"{SPACE}+", " "), " "), lambda w: w != "")
 
 
 def word_count(col: Column | str) -> Column:
@@ -69,45 +72,67 @@ def clean_text(col: Column | str, remove_digits: bool = False) -> Column:
 
 
 def tokenize(col: Column | str, stopwords: Iterable[str]) -> Column:
-    stop = literal_array(stopwords)
-    return F.filter(words(col), lambda w: ~F.array_contains(stop, w))
+    return F.filter(words(col), lambda w: ~w.isin(*stopwords))
 
 
-def sentences(col: Column | str) -> Column:
+def sentence_pieces(col: Column | str) -> Column:
     """Newlines are hard boundaries; inside a line split after ``. ! ?`` and space."""
-    parts = F.split(as_col(col), rf"\n|(?<=[.!?]){SPACE}+")
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    return F.split(as_col(col), rf"\n|(?<=[.!?]){SPACE}+")
+
+
+def sentences(col: Column | str) -> Column:
+    return F.filter(F.transform(sentence_pieces(col), strip), lambda s: s != "")
+
+
+def content_sentences(col: Column | str) -> Column:
+    """Cleaned sentences of three or more raw words, as an array.
+
+    The whole text is lower-cased once; case plays no part in splitting.
+    """
+    kept = F.filter(sentence_pieces(F.lower(as_col(col))), three_words)
+    return F.transform(kept, lambda s: F.trim(F.regexp_replace(s, rf"{NON_WORD}+", " ")))
+
+
+def has_content(col: Column | str) -> Column:
+    """True when a text has a sentence of three or more words."""
+    return F.exists(sentence_pieces(col), three_words)
 
 
 def _longest_first(phrases: Iterable[str]) -> list[str]:
     return sorted(phrases, key=len, reverse=True)
 
 
-def protect_phrases(col: Column | str, phrases: Iterable[str]) -> Column:
-    """Join listed phrases with underscores: longest first, no word boundary needed."""
+def protect_phrases(col: Column | str, phrases: Iterable[str], lowered: bool = False) -> Column:
+    """Join listed phrases with underscores: longest first, no word boundary needed.
+
+    ``lowered`` says that the text is lower case, which saves folding case in the match.
+    """
     text = as_col(col)
     phrases = _longest_first(phrases)
     if not phrases:
         return text
-    found = f"(?i)({alternatives(phrases)})"
+    found = f"({alternatives(phrases)})" if lowered else f"(?i)({alternatives(phrases)})"
+    present = contains_any(text, phrases) if lowered else text.rlike(found)
+    joined = _rewrite_matches(text, found, lambda p: F.translate(p, " ", "_"))
+    return F.when(present, joined).otherwise(text)
+
+
+def _rewrite_matches(text: Column, found: str, rewrite) -> Column:
+    """Apply ``rewrite`` to every match of a one-group pattern."""
     pieces = F.split(F.regexp_replace(text, found, "\u0001$1\u0002"), "[\u0001\u0002]")
-    joined = F.array_join(
-        F.transform(
-            pieces,
-            lambda p, i: F.when(i % 2 == 1, F.translate(p, " ", "_")).otherwise(p),
-        ),
-        "",
+    return F.array_join(
+        F.transform(pieces, lambda p, i: F.when(i % 2 == 1, rewrite(p)).otherwise(p)), ""
     )
-    return F.when(text.rlike(found), joined).otherwise(text)
 
 
 def restore_phrases(col: Column | str, phrases: Iterable[str]) -> Column:
-    """Inverse of :func:`protect_phrases`; a restored phrase comes back in list case."""
+    """Inverse of :func:`protect_phrases`; a restored phrase comes back in lower case."""
     text = as_col(col)
-    restored = text
-    for phrase in phrases:
-        pattern = "(?i)" + re.escape(phrase.replace(" ", "_"))
-        restored = F.regexp_replace(restored, pattern, phrase)
+    joined = [p.replace(" ", "_") for p in _longest_first(phrases)]
+    if not joined:
+        return text
+    found = f"(?i)({alternatives(joined)})"
+    restored = _rewrite_matches(text, found, lambda p: F.lower(F.translate(p, "_", " ")))
     return F.when(text.contains("_"), restored).otherwise(text)
 
 
@@ -125,7 +150,8 @@ def ngrams(tokens: Column, lo: int, hi: int) -> Column:
         starts = F.slice(toks, F.lit(1), F.greatest(F.size(toks) - (n - 1), F.lit(0)))
 
         def gram(first: Column, i: Column) -> Column:
-            return F.concat_ws(" ", first, *[F.get(toks, i + k) for k in range(1, n)])
+            rest = [part for k in range(1, n) for part in (F.lit(" "), F.get(toks, i + k))]
+            return F.concat(first, *rest)
 
         return F.transform(starts, gram)
 
@@ -133,14 +159,16 @@ def ngrams(tokens: Column, lo: int, hi: int) -> Column:
 
 
 def edge_stopword(gram: Column | str, stopwords: Iterable[str]) -> Column:
-    """True when the first or the last word is a stopword (or there is no word)."""
-    stop = literal_array(stopwords)
-    parts = words(F.lower(as_col(gram)))
-    return (
-        (F.size(parts) == 0)
-        | F.array_contains(stop, F.get(parts, F.lit(0)))
-        | F.array_contains(stop, F.element_at(parts, -1))
-    )
+    """True when the first or the last word of a single-spaced n-gram is a stopword."""
+    text = as_col(gram)
+    stop = list(stopwords)
+    return F.substring_index(text, " ", 1).isin(stop) | F.substring_index(text, " ", -1).isin(stop)
+
+
+def three_words(text: Column) -> Column:
+    """A text has three or more words."""
+    solid = r"[^\s\p{Z}\x1c-\x1f\x85]"
+    return text.rlike(f"{solid}{SPACE}+{solid}+{SPACE}+{solid}")
 
 
 def title_case(col: Column | str) -> Column:

@@ -11,7 +11,7 @@ from kwloom import lexicon as lx
 from kwloom.functions import classify, filters
 from kwloom.functions import text as tx
 from kwloom.functions.stemming import stem_key
-from kwloom.operators.common import first_by, scalar, top_per_group
+from kwloom.operators.common import exploded, first_by, scalar, top_per_group
 
 ORDER = "struct<origin:int,major:double,minor:string>"
 
@@ -32,15 +32,9 @@ def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _content_sentences(text: Column | str) -> Column:
-    """Cleaned sentences of three or more raw words, as an array."""
-    raw = F.filter(tx.sentences(text), lambda s: F.size(F.split(s, rf"{tx.SPACE}+")) >= 3)
-    return F.transform(raw, lambda s: tx.clean_text(s))
-
-
 def clean_sentences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Cleaned sentences of two or more words."""
-    return docs.select(F.explode(_content_sentences(text_col)).alias("sentence")).filter(
+    return exploded(docs, tx.content_sentences(text_col), "sentence").filter(
         F.col("sentence").contains(" ")
     )
 
@@ -71,7 +65,7 @@ def effective_min_df(sentences: DataFrame, min_df: int, lo: int, hi: int,
 
 
 def _grams(sentence: Column, lo: int, hi: int, phrases: Iterable[str]) -> Column:
-    return tx.ngrams(tx.gram_tokens(tx.protect_phrases(sentence, phrases)), lo, hi)
+    return tx.ngrams(tx.gram_tokens(tx.protect_phrases(sentence, phrases, lowered=True)), lo, hi)
 
 
 def ngram_counts(
@@ -97,17 +91,17 @@ def ngram_counts(
         )
 
     marked = tx.let(F.sort_array(_grams(F.col("sentence"), *ngram_range, phrases)), mark)
-    exploded = sentences.select(F.explode(marked).alias("g")).select("g.gram", "g.first")
-    restored = exploded.withColumn("ngram", tx.restore_phrases("gram", phrases))
-    return (
-        restored.filter(~tx.edge_stopword("ngram", stopwords))
-        .groupBy("ngram")
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.sum("first").alias("df"),
-        )
+    grams = exploded(sentences, marked, "g").select("g.gram", "g.first")
+    counted = (
+        grams.filter(~tx.edge_stopword("gram", stopwords))
+        .groupBy("gram")
+        .agg(F.count(F.lit(1)).alias("count"), F.sum("first").alias("df"))
         .filter(F.col("df") >= min_df)
     )
+    # a protected phrase may itself open or close with a stopword once it is restored
+    return counted.select(
+        tx.restore_phrases("gram", phrases).alias("ngram"), "count", "df"
+    ).filter(~tx.edge_stopword("ngram", stopwords))
 
 
 def _term_runs(tokens: Column, lo: int, hi: int) -> Column:
@@ -144,14 +138,12 @@ def tfidf_top_terms(
 
     The per-document norm does not change a document's own order and is left out.
     """
-    joined = F.array_join(_content_sentences(text_col), " ")
-    kept = docs.select(
-        id_col, F.size(_content_sentences(text_col)).alias("n"), joined.alias("body")
-    ).filter("n > 0")
+    kept = docs.filter(tx.has_content(text_col))
+    body = kept.select(id_col, F.array_join(tx.content_sentences(text_col), " ").alias("body"))
     runs = _term_runs(
-        tx.gram_tokens(tx.protect_phrases(F.col("body"), phrases)), *ngram_range
+        tx.gram_tokens(tx.protect_phrases(F.col("body"), phrases, lowered=True)), *ngram_range
     )
-    tf = kept.select(id_col, F.explode(runs).alias("r")).select(
+    tf = exploded(body, runs, "r", id_col).select(
         id_col, F.col("r.term").alias("term"), F.col("r.tf").alias("tf")
     )
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -257,10 +249,14 @@ def keyword_freq(
 ) -> DataFrame:
     """Add ``freq``: occurrences of each keyword as a 1 to ``hi`` token n-gram of the corpus."""
     tokens = tx.gram_tokens(tx.clean_text(text_col))
-    grams = docs.select(F.explode(tx.ngrams(tokens, 1, hi)).alias("keyword"))
-    counts = grams.groupBy("keyword").agg(F.count(F.lit(1)).alias("freq"))
-    return keywords.join(counts, "keyword", "left").withColumn(
-        "freq", F.coalesce("freq", F.lit(0))
+    grams = exploded(docs, tx.ngrams(tokens, 1, hi), "_gram")
+    counts = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("freq"))
+    # n-grams are lower case already; joining on the expression keeps the filters behind
+    # ``keywords`` from being inferred for, and run on, every n-gram of the corpus
+    return (
+        keywords.join(counts, F.col("keyword") == F.lower("_gram"), "left")
+        .withColumn("freq", F.coalesce("freq", F.lit(0)))
+        .drop("_gram")
     )
 
 

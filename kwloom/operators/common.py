@@ -27,6 +27,11 @@ def _checkpoint_dir(spark) -> str | None:
     return spark.sparkContext.getCheckpointDir()
 
 
+def exploded(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element of ``array`` next to the kept columns."""
+    return df.select(*keep, F.explode(array).alias(name))
+
+
 def scalar(df: DataFrame, value: Column) -> Column:
     """One aggregate over a table, usable inside another query's expressions."""
     return df.agg(value.alias("value")).scalar()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kwloom import lexicon as lx
 from kwloom.functions import text as tx
-from kwloom.operators.common import top_per_group
+from kwloom.operators.common import exploded, top_per_group
 
 
 def term_weights(
@@ -22,13 +22,8 @@ def term_weights(
     ``texts`` is (comparison_id, side, part, text) with side ``mine`` or ``theirs``; parts
     are the texts a side consists of. Each comparison is its own two-document corpus.
     """
-    stop = tx.literal_array(stopwords)
-    tokens = F.filter(
-        tx.gram_tokens(tx.clean_text("text")), lambda t: ~F.array_contains(stop, t)
-    )
-    terms = texts.select(
-        "comparison_id", "side", F.explode(tx.ngrams(tokens, 1, 3)).alias("term")
-    )
+    tokens = F.filter(tx.gram_tokens(tx.clean_text("text")), lambda t: ~t.isin(*stopwords))
+    terms = exploded(texts, tx.ngrams(tokens, 1, 3), "term", "comparison_id", "side")
     mine = F.count(F.when(F.col("side") == "mine", 1))
     theirs = F.count(F.when(F.col("side") == "theirs", 1))
     counts = terms.groupBy("comparison_id", "term").agg(mine.alias("a"), theirs.alias("b"))

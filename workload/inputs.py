@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kwloom.functions import filters
 from kwloom.functions import text as tx
 from kwloom.operators import assembly, candidates, metrics, universal
-from kwloom.operators.common import cut_lineage, scalar
+from kwloom.operators.common import cut_lineage, exploded, scalar
 from workload import lexicons as wl
 
 _materialised: dict[tuple, DataFrame] = {}
@@ -108,11 +108,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(competitor, keyword): two-word phrases of each document source."""
     tokens = tx.gram_tokens(tx.clean_text("text"))
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(
-        F.col("source").alias("competitor"),
-        F.explode(F.array_distinct(tx.ngrams(tokens, 2, 2))).alias("keyword"),
-    ).distinct()
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "competitor")
+    phrases = F.array_distinct(tx.ngrams(tokens, 2, 2))
+    return exploded(docs, phrases, "keyword", "competitor").distinct()
 
 
 def existing_content(spark: SparkSession, sf_dir: str) -> DataFrame:
