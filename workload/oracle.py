@@ -863,17 +863,6 @@ ENTITIES = f"list_concat({_SINGLE}, {_PAIRS})"
 NAME_GRAMS = (
     f"list_concat(list_filter({TOK}, lambda w: length(w) > 2 AND NOT list_contains({arr(wl.NAME_STOPWORDS)}, w)), {grams(TOK, 2)})"
 )
-add(
-    "g4_cluster_name",
-    f"""WITH g AS (SELECT cluster, keyword, unnest(l) AS gram, unnest(range(len(l))) AS pos FROM (
-    SELECT cluster, keyword, {NAME_GRAMS} AS l FROM flagged)),
-n AS (SELECT cluster, gram, count(*) AS n, min((keyword, pos)) AS first FROM g GROUP BY ALL),
-b AS (SELECT cluster, gram FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, first) AS r FROM n) WHERE r = 1),
-o AS (SELECT f.cluster, min(f.keyword) AS opened, any_value('cluster-' || coalesce(replace(b.gram, ' ', '-'), 'misc')) AS name
-  FROM flagged f LEFT JOIN b ON b.cluster = f.cluster GROUP BY f.cluster)
-SELECT cluster AS cluster_id, CASE WHEN opened > min(opened) OVER (PARTITION BY name) THEN name || '-' || cluster ELSE name END AS cluster FROM o""",
-    "flagged",
-)
 Q["g4_cluster_name"] = with_tables(
     f"""SELECT cluster_id, cluster FROM (
 WITH g AS (SELECT cluster, keyword, unnest(l) AS gram, unnest(range(len(l))) AS pos FROM (
@@ -953,11 +942,6 @@ add(
   SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {RANKING}) AS r FROM items) WHERE r <= 4""",
     "items",
 )
-add(
-    "h4_global_ranking",
-    f"SELECT keyword, round(opportunity_score, 9) AS opportunity_score FROM items ORDER BY {RANKING} LIMIT 500",
-    "items",
-)
 add("h5_quality_gate", "SELECT keyword, validated FROM items WHERE validated OR opportunity_score >= 0.05", "items")
 add(
     "h6_validate_schema",
@@ -1523,12 +1507,6 @@ add(
   {r3('(sum((opportunity_score)::DECIMAL(28,12))::DOUBLE / count(*))')} AS avg_opportunity FROM items GROUP BY intent""",
     "items",
 )
-add(
-    "o7_priority_matrix",
-    """SELECT keyword, round(opportunity_score, 9) AS opportunity_score, round(difficulty, 9) AS difficulty FROM items
-WHERE opportunity_score >= 0.03 AND difficulty <= 0.7 ORDER BY opportunity_score DESC, keyword LIMIT 50""",
-    "items",
-)
 # output aliases must not shadow the filter columns
 Q["o7_priority_matrix"] = with_tables(
     """SELECT keyword, round(o, 9) AS opportunity_score, round(d, 9) AS difficulty FROM (

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -604,13 +605,10 @@ def _clusters(spark, sf_dir):
 
 @query("g1_vectorize")
 def _(spark, sf_dir):
-    out = clustering.vectorize(inputs.keywords(spark, sf_dir).select("keyword"))
-    from pyspark.ml.functions import vector_to_array
-
+    """Squared length of each keyword's row: 1, or 0 when no word remains."""
+    rows = clustering.vectorize(inputs.keywords(spark, sf_dir).select("keyword"), num_features=64)
     norm = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x * x)
-    slots = clustering.vectorize(inputs.keywords(spark, sf_dir).select("keyword"), num_features=64)
-    del out
-    return slots.select("keyword", F.round(norm, 6).alias("squared_norm"))
+    return rows.select("keyword", F.round(norm, 6).alias("squared_norm"))
 
 
 @query("g2_select_k")
