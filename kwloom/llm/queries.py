@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kwloom.llm import bpe, substring_dedup
+from kwloom.llm import bpe, order_minhash, substring_dedup
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, and the links of its text."""
+    return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document to token ids and back, as digests."""
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
@@ -30,6 +35,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_order_minhash": op5_order_minhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_substring_dedup": op9_substring_dedup,
 }
