@@ -2,7 +2,8 @@
 
 The first pass counts hashes of all windows in a count-min sketch: every task sketches its rows,
 the sketches are merged slice by slice. The sketch can only overestimate, so a window it counts
-once is unique. The second pass groups the windows counted twice or more by a 96-bit key, exactly.
+once is unique. The second pass groups the windows counted twice or more by a 95-bit key, exactly;
+a task settles by itself what its own rows show, so a window of any frequency sends few rows.
 """
 
 from __future__ import annotations
@@ -13,19 +14,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kwloom.llm.base import sliced, spread, stored
-from kwloom.llm.hashing import RUNS, Words
+from kwloom.llm.hashing import RUNS, Words, mixed
 
 WINDOW = 13
 #: Rows of the sketch, and cells of one slice of a row.
 DEPTH, SLICE_BITS = 2, 22
-#: Cells of a row: a power of two, at least twice the windows, and within these bounds (two bits
+#: Cells of a row: a power of two, about four times the windows, and within these bounds (two bits
 #: a cell in a task's memory at most). Past the upper bound more windows reach the second pass;
 #: the result stays the same.
 CELL_BITS = (22, 30)
-#: Windows a task sketches at a time.
-FLUSH = 2_000_000
+#: Windows a task sketches at a time, and repeated windows it compares at a time.
+FLUSH, COMPARED = 3_000_000, 400_000
+#: Bytes of text hashed at a time.
+PIECE = 2 << 20
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -72,7 +76,7 @@ def _sketches(docs: DataFrame, window: int, bits: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", PIECE):
             held.append(Words.of(batch.column("text")).runs(window)[1])
             size += len(held[-1])
             if size >= FLUSH:
@@ -119,70 +123,89 @@ def _merged(sketches: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def _repeated(docs: DataFrame, window: int, bits: int, twice: dict[int, bytes]) -> DataFrame:
-    """(k1, k2, doc_id, row, at): the windows that the sketch counts twice or more."""
+def _bitmaps(merged: DataFrame, bits: int) -> list[np.ndarray]:
+    """A bitmap for each row of the sketch; of bounded size, DEPTH bits for at most 2**30 cells."""
+    low = min(SLICE_BITS, bits)
+    rows = [np.zeros(1 << bits >> 3, dtype=np.uint8) for _ in range(DEPTH)]
+    for r in merged.toLocalIterator():
+        begin = (r.part & 0xFFFF) << low >> 3
+        rows[r.part >> 16][begin:begin + (1 << low >> 3)] = np.frombuffer(r.twice, dtype=np.uint8)
+    return rows
+
+
+def _repeated(docs: DataFrame, window: int, bits: int, twice: list[np.ndarray]) -> DataFrame:
+    """(k1, k2, doc_id, place): the windows that the sketch counts twice or more.
+
+    The last bit of ``k2`` marks windows that a smaller id of the same task also has; their key
+    is spread at random. ``place`` is 32 bits of the text's hash and the window's first word.
+    """
     sketch = docs.sparkSession.sparkContext.broadcast(twice)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def settled(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        k1, k2, doc, place = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((doc, k2, k1))
+        ranked1, ranked2, ranked = k1[order], k2[order], doc[order]
+        head = np.ones(len(k1), dtype=bool)
+        head[1:] = (ranked1[1:] != ranked1[:-1]) | (ranked2[1:] != ranked2[:-1])
+        sure = np.empty(len(k1), dtype=bool)
+        sure[order] = ranked > ranked[np.flatnonzero(head)][np.cumsum(head) - 1]
+        k1 = np.where(sure, mixed(k1 ^ place.view(np.uint64) ^ mixed(doc.view(np.uint64))), k1)
+        k2 = (k2.astype(np.int64) << 1) | sure  # rows stay in text order, which shuffles in less space
+        return pa.RecordBatch.from_arrays(
+            [pa.array(k1.view(np.int64)), pa.array(k2), pa.array(doc), pa.array(place)],
+            names=["k1", "k2", "doc_id", "place"],
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = min(SLICE_BITS, bits)
-        rows = []
-        for row in range(DEPTH):
-            bitmap = np.zeros(1 << bits >> 3, dtype=np.uint8)
-            for part, data in sketch.value.items():
-                if part >> 16 == row:
-                    begin = (part & 0xFFFF) << low >> 3
-                    bitmap[begin:begin + (1 << low >> 3)] = np.frombuffer(data, dtype=np.uint8)
-            rows.append(bitmap)
-        for batch in sliced(batches, "text"):
+        held, size = [], 0
+        for batch in sliced(batches, "text", PIECE):
             words = Words.of(batch.column("text"))
             at, hashes = words.runs(window)
-            for row, bitmap in enumerate(rows):
+            for row, bitmap in enumerate(sketch.value):
                 cells = _cells(hashes, row, bits)
                 hit = (bitmap[cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8)) & 1 > 0
                 at, hashes = at[hit], hashes[hit]
-            second = _second(words, at, window)
             of = words.doc[at]
-            first_word = np.cumsum(words.per_doc) - words.per_doc
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(hashes.view(np.int64)), pa.array(second),
-                    batch.column("doc_id").take(pa.array(of)), batch.column("row").take(pa.array(of)),
-                    pa.array((at - first_word[of]).astype(np.int32)),
-                ],
-                names=["k1", "k2", "doc_id", "row", "at"],
-            )
+            first = np.cumsum(words.per_doc) - words.per_doc
+            texts = batch.column("row").to_numpy()[of] << 32
+            held.append([hashes, _second(words, at, window), batch.column("doc_id").to_numpy()[of], texts | (at - first[of])])
+            size += len(at)
+            if size >= COMPARED:
+                yield settled(held)
+                held, size = [], 0
+        if size:
+            yield settled(held)
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(
-        run, f"k1 long, k2 int, doc_id {kind}, row long, at int"
-    )
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "k1 long, k2 long, doc_id long, place long")
 
 
 def _second(words: Words, at: np.ndarray, window: int) -> np.ndarray:
-    """32 more bits for the windows at ``at``, from an independent run hash."""
+    """31 more bits for the windows at ``at``, from an independent run hash."""
     first, hashes = words.runs(window, RUNS[1])
-    return (hashes[np.searchsorted(first, at)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (hashes[np.searchsorted(first, at)] >> np.uint64(33)).astype(np.int32)
+
+
+def _texts(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.withColumn("row", F.shiftright(F.xxhash64("text"), 32))
 
 
 def repeated_windows(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, at): starts of windows whose words also start in a document with a smaller id.
+    """(doc_id, place): starts of windows whose words also start in a document with a smaller id.
 
-    ``row`` is the hash of the text: rows that share an id keep their own positions.
+    ``place`` holds the first word's position in its low 32 bits and 32 bits of the text's hash
+    above: rows that share an id keep their own positions.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.withColumn("row", F.xxhash64("text"))
-    words = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    # a word and its space take two characters at least; prose takes about six
-    bits = min(max(int(max(words, 1) // 3).bit_length(), CELL_BITS[0]), CELL_BITS[1])
+    docs = _texts(df, text_col, id_col)
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    # prose has about six characters a word: a power of two of three to six times the windows
+    bits = min(max(int(max(size, 1) // 2).bit_length(), CELL_BITS[0]), CELL_BITS[1])
     merged = stored(_merged(_sketches(docs, window, bits), bits))
-    # of bounded size: DEPTH bits for each of at most 2**30 cells
-    twice = {r.part: bytes(r.twice) for r in merged.toLocalIterator()}
-    found = _repeated(docs, window, bits, twice)
-    first = (
-        found.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .where("first < last").drop("last")
+    key = Window.partitionBy("k1", "k2")
+    return (
+        _repeated(docs, window, bits, _bitmaps(merged, bits)).withColumn("first", F.min("doc_id").over(key))
+        .where((F.col("first") < F.col("doc_id")) | (F.col("k2") % 2 == 1)).select("doc_id", "place")
     )
-    return found.join(first, ["k1", "k2"]).where("first < doc_id").select("doc_id", "row", "at")
 
 
 def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
@@ -193,20 +216,19 @@ def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window:
     are judged on the input. ``kept`` joins the other words by one space. Null and empty texts,
     and texts shorter than a window, keep all they have. Repeated rows of one id count as one
     document and never remove each other; a null id is neither earlier nor later than any.
-    Ids of ties do not exist: the smallest id keeps its words. Extra columns are not read.
+    The smallest id that has a passage keeps it. Ids are whole numbers. Extra columns are not read.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = _texts(df, text_col, id_col)
+    place = F.col("place")
     marks = (
         repeated_windows(df, text_col, id_col, window)
-        .groupBy("doc_id", "row").agg(F.collect_set("at").alias("starts"))  # of one document
-    )
-    marked = docs.withColumn("row", F.xxhash64("text")).join(marks, ["doc_id", "row"], "left").select(
-        "doc_id", "text", "starts"
+        .groupBy("doc_id", F.shiftright(place, 32).alias("row"))
+        .agg(F.collect_list(place.bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("starts"))  # of one document
     )
+    marked = docs.join(marks, ["doc_id", "row"], "left").select("doc_id", "text", "starts")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", PIECE):
             words = Words.of(batch.column("text"))
             first = np.cumsum(words.per_doc) - words.per_doc
             starts = batch.column("starts")
@@ -238,6 +260,6 @@ def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window:
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return marked.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string").withColumnRenamed(
+    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed(
         "doc_id", id_col
     )
