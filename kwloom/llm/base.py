@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,17 +40,19 @@ def fold(doc_id: str | Column, folds: int) -> Column:
 def sample_ids(df: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
     """(id, class): at most ``per_class`` rows of each class, the first by a hash of the id.
 
-    Every task keeps its own first rows, so one class may hold most of the table.
+    Counts of the classes give a bound on the hash that twice as many rows meet, so that the
+    ranking sees a bounded number of rows whatever the size of the table or of a class.
     """
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("_class").orderBy(F.xxhash64(F.lit(7), "_id"), "_id")
+    rows = df.select(F.col(id_col).alias("_id"), F.col(class_col).alias("_class")).where(
+        F.col("_id").isNotNull() & F.col("_class").isNotNull()
+    )
+    share = F.coalesce(F.lit(2.0 * per_class + 50) / F.col("_n"), F.lit(1.0))
+    sizes = F.broadcast(rows.groupBy("_class").agg(F.count(F.lit(1)).alias("_n")))  # a row for each class
+    rank = F.xxhash64(F.lit(7), "_id")
+    order = Window.partitionBy("_class").orderBy(rank, "_id")
     return (
-        df.select(F.col(id_col).alias("_id"), F.col(class_col).alias("_class"))
-        .where(F.col("_id").isNotNull() & F.col("_class").isNotNull())
-        .withColumn("_at", F.row_number().over(order))
-        .where(F.col("_at") <= per_class)
-        .drop("_at")
+        rows.join(sizes, "_class").where((rank.cast("double") / 2.0**64 + 0.5) < share)
+        .withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_class).select("_id", "_class")
     )
 
 
