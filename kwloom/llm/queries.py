@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kwloom.llm import bpe, decontaminate, language_id, order_minhash, substring_dedup, url_filter, vp_tree
+from kwloom.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    language_id,
+    license_scan,
+    order_minhash,
+    substring_dedup,
+    url_filter,
+    vp_tree,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,6 +48,13 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, laid out as files of a source and language."""
+    files = license_scan.document_paths(_table(spark, sf_dir, "documents"))
+    name = F.regexp_extract("path", r"(\d+)(?:\.txt)?$", 1)
+    return license_scan.scan(files).select(name.cast("long").alias("doc_id"), "*")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that share a passage of the item's size."""
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -55,14 +72,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
     "op3_vp_tree": op3_vp_tree,
     "op5_order_minhash": op5_order_minhash,
+    "op6_license_scan": op6_license_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_html_text": op10_html_text,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.duckdb_sql(),
