@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -77,3 +78,17 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
     out += np.arange(total, dtype=kind)
     return out
+
+
+class Carried:
+    """Columns that pass an Arrow function unchanged, under names that clash with none."""
+
+    def __init__(self, df: DataFrame, columns: Iterable[str] = ()) -> None:
+        self.names = list(columns)
+        self.inside = [f"_carried_{i}" for i in range(len(self.names))]
+        self.columns = [df[f"`{c}`"].alias(n) for c, n in zip(self.names, self.inside, strict=True)]
+        types = {f.name: f.dataType for f in df.schema}
+        self.fields = [T.StructField(n, types[c]) for c, n in zip(self.names, self.inside, strict=True)]
+
+    def restored(self) -> list[Column]:
+        return [F.col(n).alias(c) for c, n in zip(self.names, self.inside, strict=True)]

@@ -7,7 +7,7 @@ a forward algorithm takes without listing them; words are independent, so is the
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,9 +15,10 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from kwloom.llm.base import fold, sample_ids, sliced
+from kwloom.llm.base import Carried, fold, sample_ids, sliced
 from kwloom.llm.hashing import mixed, powers
 
 #: Documents of a language that are learned from, and its most frequent words among them.
@@ -208,18 +209,25 @@ def fit(
     return learn(counts, read_pieces(model_path), prior) if counts else None
 
 
-def predict(df: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def predict(
+    df: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id", carry: Sequence[str] = ()
+) -> DataFrame:
     """(id, lang_pred, score): the likeliest language of every whole text and its probability.
 
+    The columns named by ``carry`` follow.
+
     A null text, or one without a letter, is ``und`` with score 0, and so is every text when
     there is no model. Ties go to the language first in order. A run of more than 40 letters is
-    scored in parts. Repeated rows and null ids give a row each. Extra columns are not read.
+    scored in parts. Repeated rows and null ids give a row each. Other columns are not read.
     """
+    carried = Carried(df, carry)
     docs = df.select(
         F.col(id_col).alias("id"), F.coalesce(_letter_words(text_col), F.lit("")).alias("text"),
         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("known"),
+        *carried.columns,
     )
-    kind = docs.schema["id"].dataType.simpleString()
+    schema = T.StructType([docs.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *carried.fields])
+    passed, names = carried.inside, schema.names
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,29 +242,29 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", id_col:
                 parts = pa.compute.split_pattern(batch.column("text").filter(pa.array(known)).cast(pa.large_string()), " ")
                 sizes = pa.compute.list_value_length(parts).to_numpy().astype(np.int64)
                 coded = parts.flatten().dictionary_encode()
-                names = coded.dictionary.to_pylist()
+                distinct = coded.dictionary.to_pylist()
                 if len(at_word) > REMEMBERED:
                     at_word, table = {}, table[:0]
-                new = [w for w in names if w not in at_word]
+                new = [w for w in distinct if w not in at_word]
                 cut = [[w[i:i + LONGEST] for i in range(0, len(w), LONGEST)] for w in new]
                 if new:
                     scores = model.scores([c for x in cut for c in x])
                     firsts = np.cumsum([0, *map(len, cut)])[:-1]
                     at_word.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
                     table = np.concatenate([table, np.add.reduceat(scores, firsts)])
-                rows = np.fromiter((at_word[w] for w in names), dtype=np.int64, count=len(names))
+                rows = np.fromiter((at_word[w] for w in distinct), dtype=np.int64, count=len(distinct))
                 each = table[rows[coded.indices.to_numpy()]]
                 total = np.add.reduceat(each, np.cumsum(sizes) - sizes) + model.prior
                 top = total.argmax(axis=1)
                 odds = np.exp(total - total[np.arange(len(top)), top][:, None]).sum(axis=1)
                 best[known], score[known] = top, 1.0 / odds
-            names = [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
+            told = [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(names, pa.string()), pa.array(score)],
-                names=["id", "lang_pred", "score"],
+                [batch.column("id"), pa.array(told, pa.string()), pa.array(score), *(batch.column(n) for n in passed)],
+                names=names,
             )
 
-    return docs.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, schema).select(F.col("id").alias(id_col), "lang_pred", "score", *carried.restored())
 
 
 def held_out(id_col: str = "doc_id") -> Column:

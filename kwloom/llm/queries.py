@@ -16,6 +16,7 @@ from kwloom.llm import (
     license_scan,
     order_minhash,
     substring_dedup,
+    toxicity,
     url_filter,
     vp_tree,
 )
@@ -43,6 +44,11 @@ def op3_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_tree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    return toxicity.detect(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document, and the links of its text."""
     return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
     "op3_vp_tree": op3_vp_tree,
+    "op4_toxicity": op4_toxicity,
     "op5_order_minhash": op5_order_minhash,
     "op6_license_scan": op6_license_scan,
     "op7_decontaminate": op7_decontaminate,

@@ -2,21 +2,23 @@
 
 The first pass counts hashes of all windows in a count-min sketch: every task sketches its rows,
 the sketches are merged slice by slice. The sketch can only overestimate, so a window it counts
-once is unique. The second pass groups the windows counted twice or more by a 95-bit key, exactly;
+once is unique. The second pass groups the windows counted twice or more by an 87-bit key, exactly;
 a task settles by itself what its own rows show, so a window of any frequency sends few rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from kwloom.llm.base import sliced, spread, stored
+from kwloom.llm.base import Carried, sliced, spread, stored
 from kwloom.llm.hashing import RUNS, Words, mixed
 
 WINDOW = 13
@@ -27,7 +29,7 @@ DEPTH, SLICE_BITS = 2, 22
 #: the result stays the same.
 CELL_BITS = (22, 30)
 #: Windows a task sketches at a time, and repeated windows it compares at a time.
-FLUSH, COMPARED = 3_000_000, 400_000
+FLUSH, COMPARED = 5_000_000, 400_000
 #: Bytes of text hashed at a time.
 PIECE = 2 << 20
 
@@ -89,7 +91,7 @@ def _sketches(docs: DataFrame, window: int, bits: int) -> DataFrame:
 
 
 def _merged(sketches: DataFrame, bits: int) -> DataFrame:
-    """(part, twice): one bitmap of the cells met twice or more, for each slice with any.
+    """(part, twice): one deflated bitmap of the cells met twice or more, for each slice with any.
 
     A task streams over the sketches of its slices and holds two bitmaps of one slice.
     """
@@ -102,7 +104,7 @@ def _merged(sketches: DataFrame, bits: int) -> DataFrame:
             if part is not None and twice.any():
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part], pa.int32()),
-                    "twice": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary()),
+                    "twice": pa.array([zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary()),
                 })
 
         for batch in batches:
@@ -129,7 +131,7 @@ def _bitmaps(merged: DataFrame, bits: int) -> list[np.ndarray]:
     rows = [np.zeros(1 << bits >> 3, dtype=np.uint8) for _ in range(DEPTH)]
     for r in merged.toLocalIterator():
         begin = (r.part & 0xFFFF) << low >> 3
-        rows[r.part >> 16][begin:begin + (1 << low >> 3)] = np.frombuffer(r.twice, dtype=np.uint8)
+        rows[r.part >> 16][begin:begin + (1 << low >> 3)] = np.frombuffer(zlib.decompress(r.twice), dtype=np.uint8)
     return rows
 
 
@@ -137,7 +139,7 @@ def _repeated(docs: DataFrame, window: int, bits: int, twice: list[np.ndarray])
     """(k1, k2, doc_id, place): the windows that the sketch counts twice or more.
 
     The last bit of ``k2`` marks windows that a smaller id of the same task also has; their key
-    is spread at random. ``place`` is 32 bits of the text's hash and the window's first word.
+    is that of the document. ``place`` is 32 bits of the text's hash and the window's first word.
     """
     sketch = docs.sparkSession.sparkContext.broadcast(twice)
 
@@ -149,7 +151,7 @@ def _repeated(docs: DataFrame, window: int, bits: int, twice: list[np.ndarray])
         head[1:] = (ranked1[1:] != ranked1[:-1]) | (ranked2[1:] != ranked2[:-1])
         sure = np.empty(len(k1), dtype=bool)
         sure[order] = ranked > ranked[np.flatnonzero(head)][np.cumsum(head) - 1]
-        k1 = np.where(sure, mixed(k1 ^ place.view(np.uint64) ^ mixed(doc.view(np.uint64))), k1)
+        k1 = np.where(sure, mixed(doc.view(np.uint64)), k1)
         k2 = (k2.astype(np.int64) << 1) | sure  # rows stay in text order, which shuffles in less space
         return pa.RecordBatch.from_arrays(
             [pa.array(k1.view(np.int64)), pa.array(k2), pa.array(doc), pa.array(place)],
@@ -180,13 +182,16 @@ def _repeated(docs: DataFrame, window: int, bits: int, twice: list[np.ndarray])
 
 
 def _second(words: Words, at: np.ndarray, window: int) -> np.ndarray:
-    """31 more bits for the windows at ``at``, from an independent run hash."""
+    """23 more bits for the windows at ``at``, from an independent run hash."""
     first, hashes = words.runs(window, RUNS[1])
-    return (hashes[np.searchsorted(first, at)] >> np.uint64(33)).astype(np.int32)
+    return (hashes[np.searchsorted(first, at)] >> np.uint64(41)).astype(np.int32)
 
 
-def _texts(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _texts(df: DataFrame, text_col: str, id_col: str, carried: Carried | None = None) -> DataFrame:
+    docs = df.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        *(carried.columns if carried else ()),
+    )
     return docs.withColumn("row", F.shiftright(F.xxhash64("text"), 32))
 
 
@@ -208,24 +213,33 @@ def repeated_windows(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     )
 
 
-def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def dedup(
+    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, carry: Sequence[str] = ()
+) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every document without the repeated passages.
 
+    The columns named by ``carry`` follow.
+
     Words are runs of characters other than ASCII white space. A word goes if a window of
     ``window`` words covers it whose words also start in a document with a smaller id; windows
     are judged on the input. ``kept`` joins the other words by one space. Null and empty texts,
     and texts shorter than a window, keep all they have. Repeated rows of one id count as one
     document and never remove each other; a null id is neither earlier nor later than any.
-    The smallest id that has a passage keeps it. Ids are whole numbers. Extra columns are not read.
+    The smallest id that has a passage keeps it. Ids are whole numbers. Other columns are not read.
     """
-    docs = _texts(df, text_col, id_col)
+    carried = Carried(df, [c for c in carry if c != text_col])
+    docs = _texts(df, text_col, id_col, carried)
     place = F.col("place")
     marks = (
         repeated_windows(df, text_col, id_col, window)
         .groupBy("doc_id", F.shiftright(place, 32).alias("row"))
         .agg(F.collect_list(place.bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("starts"))  # of one document
     )
-    marked = docs.join(marks, ["doc_id", "row"], "left").select("doc_id", "text", "starts")
+    marked = docs.join(marks, ["doc_id", "row"], "left").select("doc_id", "text", "starts", *carried.inside)
+    whole = [T.StructField("_text", T.StringType())] if text_col in carry else []
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
+    schema = T.StructType([*schema, *whole, *carried.fields])
+    passed, names = carried.inside, schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", PIECE):
@@ -256,10 +270,12 @@ def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window:
                 [
                     batch.column("doc_id"), pa.array(words.per_doc, pa.int64()),
                     pa.array(removed, pa.int64()), pa.array(texts, pa.string()),
+                    *([batch.column("text")] if whole else []), *(batch.column(n) for n in passed),
                 ],
-                names=["doc_id", "n_words", "n_removed", "kept"],
+                names=names,
             )
 
-    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed(
-        "doc_id", id_col
+    text = [F.col("_text").alias(text_col)] if whole else []
+    return marked.mapInArrow(run, schema).select(
+        F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept", *text, *carried.restored()
     )
