@@ -29,34 +29,40 @@ def trust_signals(
     locale_patterns: Mapping[str, Mapping[str, tuple]] = lx.TRUST_LOCALES,
 ) -> Column:
     """Struct of category scores, the weighted score, signals found and missing, advice."""
-    text = F.lower(tx.as_col(content))
     merged = trust_patterns(locale, patterns, locale_patterns)
-    found = {
-        category: tx.compact(
-            *[F.when(text.rlike(tx.java_pattern(p)), F.lit(d)) for p, d in rules]
+    rules = [(c, p, d) for c, listed in merged.items() for p, d in listed]
+    described = list(dict.fromkeys(d for _, _, d in rules))
+
+    def judged(text: Column) -> Column:
+        return F.array(*[text.rlike(tx.java_pattern(p)) for _, p, _ in rules])
+
+    def signals(hits: Column) -> Column:
+        def found(category: str | None = None) -> Column:
+            return tx.compact(
+                *[F.when(hits[i], F.lit(d)) for i, (c, _, d) in enumerate(rules) if category in (None, c)]
+            )
+
+        def score(category: str) -> Column:
+            count = sum((hits[i].cast("int") for i, (c, _, _) in enumerate(rules) if c == category), F.lit(0))
+            return F.least(count / F.lit(float(lx.TRUST_MAXIMUM[category])), F.lit(1.0))
+
+        overall = F.lit(0.0)
+        for category, weight in lx.TRUST_WEIGHT.items():
+            overall = overall + F.lit(weight) * score(category)
+        missing = F.slice(F.array_except(tx.literal_array(described), found()), 1, 10)
+        advice = tx.compact(
+            *[F.when(score(c) < 0.4, F.lit(line)) for c, line in lx.TRUST_ADVICE.items()]
         )
-        for category, rules in merged.items()
-    }
-    scores = {
-        c: F.least(F.size(found[c]) / F.lit(float(lx.TRUST_MAXIMUM[c])), F.lit(1.0))
-        for c in lx.TRUST_WEIGHT
-    }
-    overall = F.lit(0.0)
-    for category, weight in lx.TRUST_WEIGHT.items():
-        overall = overall + F.lit(weight) * scores[category]
-    described = list(dict.fromkeys(d for rules in merged.values() for _, d in rules))
-    all_found = F.concat(*found.values())
-    missing = F.slice(F.array_except(tx.literal_array(described), all_found), 1, 10)
-    advice = tx.compact(
-        *[F.when(scores[c] < 0.4, F.lit(line)) for c, line in lx.TRUST_ADVICE.items()]
-    )
-    return F.struct(
-        F.round(overall, 3).alias("overall_score"),
-        *[F.round(s, 3).alias(f"{c}_score") for c, s in scores.items()],
-        all_found.alias("signals_found"),
-        missing.alias("signals_missing"),
-        advice.alias("recommendations"),
-    )
+        return F.struct(
+            F.round(overall, 3).alias("overall_score"),
+            *[F.round(score(c), 3).alias(f"{c}_score") for c in lx.TRUST_WEIGHT],
+            found().alias("signals_found"),
+            missing.alias("signals_missing"),
+            advice.alias("recommendations"),
+        )
+
+    # every pattern meets the text once: the hits are bound before they are used
+    return tx.let(tx.let(F.lower(tx.as_col(content)), judged), signals)
 
 
 def snippet(query: Column | str, query_type: Column | str, points: Column | str) -> Column:

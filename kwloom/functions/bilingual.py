@@ -88,7 +88,7 @@ def expand_bilingual(
     keyword: Column | str,
     terms: tuple = lx.BILINGUAL_TERMS,
     locations: tuple = lx.BILINGUAL_LOCATIONS,
-    whole_word_locations: bool = True,
+    whole_word_locations: bool = False,
 ) -> Column:
     """Array of distinct variants: the keyword, its first term and every location swapped."""
     text = tx.as_col(keyword)
@@ -163,7 +163,7 @@ def bilingual_query(
     terms: tuple = lx.BILINGUAL_TERMS,
     locations: tuple = lx.BILINGUAL_LOCATIONS,
     intents: tuple = lx.ARABIC_INTENTS,
-    whole_word_locations: bool = True,
+    whole_word_locations: bool = False,
 ) -> Column:
     """Language, Arabic intent, term and location hits and the first replacement."""
     text = tx.as_col(query)

@@ -28,7 +28,12 @@ def literal_array(values: Iterable[str]) -> Column:
 
 
 def java_pattern(pattern: str) -> str:
-    """Write a Python-style pattern for Java: ``\\b`` becomes a Unicode boundary."""
+    """Write a Python-style pattern for Java: ``\\b`` becomes a Unicode boundary.
+
+    Next to a literal letter or digit only the other side is looked at.
+    """
+    pattern = re.sub(r"(?<!\\)\\b(?=[A-Za-z0-9])(?!\w[?*{])", lambda _: rf"(?<!{WORD})", pattern)
+    pattern = re.sub(r"(?<=[^\\][A-Za-z0-9])\\b", lambda _: rf"(?!{WORD})", pattern)
     return pattern.replace(r"\b", BOUNDARY)
 
 

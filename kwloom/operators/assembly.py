@@ -114,13 +114,17 @@ def validate_with_suggestions(
     )
 
 
-def assemble_items(scored: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+def assemble_items(
+    scored: DataFrame, topics: DataFrame | None = None, fallback: Column | None = None
+) -> DataFrame:
     """Output rows with defaults filled, text lower-cased and the score clamped.
 
-    ``topics`` is (keyword, topic), matched on the keyword or its lower case.
+    ``topics`` is (keyword, topic), matched on the keyword or its lower case; of repeated
+    keywords the first topic in order counts. Without them ``fallback`` is the topic.
     """
     table = scored
     if topics is not None:
+        topics = topics.groupBy("keyword").agg(F.min("topic").alias("topic"))
         exact = topics.select("keyword", F.col("topic").alias("_exact"))
         lower = topics.select(F.col("keyword").alias("_low"), F.col("topic").alias("_lower"))
         table = (
@@ -129,7 +133,7 @@ def assemble_items(scored: DataFrame, topics: DataFrame | None = None) -> DataFr
             .withColumn("_topic", F.coalesce(F.nullif("_exact", F.lit("")), F.col("_lower")))
         )
     else:
-        table = table.withColumn("_topic", F.lit(None).cast("string"))
+        table = table.withColumn("_topic", F.lit(None).cast("string") if fallback is None else fallback)
     intent = F.coalesce("intent", F.lit("informational"))
     return table.select(
         F.lower("keyword").alias("keyword"),

@@ -11,7 +11,7 @@ from kwloom import lexicon as lx
 from kwloom.functions import classify, filters
 from kwloom.functions import text as tx
 from kwloom.functions.stemming import stem_key
-from kwloom.operators.common import exploded, first_by, scalar, top_per_group
+from kwloom.operators.common import cut_lineage, exploded, first_by, scalar, top_per_group
 
 ORDER = "struct<origin:int,major:double,minor:string>"
 
@@ -39,31 +39,6 @@ def clean_sentences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def effective_min_df(sentences: DataFrame, min_df: int, lo: int, hi: int,
-                     phrases: Iterable[str], probe: int = 1000) -> int:
-    """``min_df``, lowered to 1 when no n-gram of the whole corpus reaches it.
-
-    Any repeat in the first ``probe`` sentences settles the question, so a large corpus
-    is only read in full when none of them repeats.
-    """
-    if min_df <= 1:
-        return min_df
-
-    def repeats(part: DataFrame) -> bool:
-        grams = part.select(
-            F.explode(F.array_distinct(_grams(F.col("sentence"), lo, hi, phrases))).alias("ngram")
-        )
-        frequent = grams.groupBy("ngram").count().filter(F.col("count") >= min_df)
-        return not frequent.isEmpty()
-
-    head = sentences.limit(probe)
-    if repeats(head):
-        return min_df
-    if head.count() < probe:
-        return 1
-    return min_df if repeats(sentences) else 1
-
-
 def _grams(sentence: Column, lo: int, hi: int, phrases: Iterable[str]) -> Column:
     return tx.ngrams(tx.gram_tokens(tx.protect_phrases(sentence, phrases, lowered=True)), lo, hi)
 
@@ -104,6 +79,24 @@ def ngram_counts(
     ).filter(~tx.edge_stopword("ngram", stopwords))
 
 
+def counted_ngrams(
+    sentences: DataFrame, ngram_range: tuple[int, int], min_df: int, phrases: Iterable[str], stopwords: Iterable[str]
+) -> DataFrame:
+    """``ngram_counts`` with ``min_df`` as the corpus allows.
+
+    Fewer sentences than ``min_df`` lower it to their number; if then no n-gram at all reaches
+    it, every n-gram counts.
+    """
+    least = min(min_df, max(1, sentences.limit(min_df).count()))
+    grams = cut_lineage(ngram_counts(sentences, ngram_range, least, phrases, stopwords))
+    if least == 1 or not grams.isEmpty():
+        return grams
+    every = exploded(sentences, F.array_distinct(_grams(F.col("sentence"), *ngram_range, phrases)), "gram")
+    if every.groupBy("gram").count().where(F.col("count") >= least).isEmpty():
+        return ngram_counts(sentences, ngram_range, 1, phrases, stopwords)
+    return grams
+
+
 def _term_runs(tokens: Column, lo: int, hi: int) -> Column:
     """Array of (term, tf) of one document: run lengths of its sorted n-grams."""
 
@@ -180,14 +173,11 @@ def extract_candidates(
     id_col: str = "doc_id",
     text_col: str = "text",
     stem: bool = True,
-    small_corpus: bool = True,
     filter_options: dict | None = None,
 ) -> DataFrame:
     """(keyword, ord): n-grams and TF-IDF terms after the filter cascade and stem dedup."""
     sentences = clean_sentences(docs, text_col)
-    if small_corpus:
-        min_df = effective_min_df(sentences, min_df, *ngram_range, phrases)
-    grams = ngram_counts(sentences, ngram_range, min_df, phrases, stopwords).select(
+    grams = counted_ngrams(sentences, ngram_range, min_df, phrases, stopwords).select(
         F.col("ngram").alias("keyword"), order_key(0, -F.col("count"), F.col("ngram")).alias("ord")
     )
     terms = tfidf_top_terms(
@@ -251,10 +241,10 @@ def keyword_freq(
     tokens = tx.gram_tokens(tx.clean_text(text_col))
     grams = exploded(docs, tx.ngrams(tokens, 1, hi), "_gram")
     counts = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("freq"))
-    # n-grams are lower case already; joining on the expression keeps the filters behind
-    # ``keywords`` from being inferred for, and run on, every n-gram of the corpus
+    # keywords are written first: their true size decides the join, filters behind them are not
+    # inferred for every n-gram, and the counts keep their partitioning
     return (
-        keywords.join(counts, F.col("keyword") == F.lower("_gram"), "left")
+        cut_lineage(keywords).join(counts, F.col("keyword") == F.col("_gram"), "left")
         .withColumn("freq", F.coalesce("freq", F.lit(0)))
         .drop("_gram")
     )

@@ -3,28 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it back from there.
-
-    The folder is ``spark.checkpoint.dir``. Only a local session without one (tests)
-    gets a folder of its own.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not _checkpoint_dir(spark):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session without one gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kwloom-"))
-    return df.checkpoint(eager=True)
+        found = tempfile.mkdtemp(prefix="kwloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
-def _checkpoint_dir(spark) -> str | None:
-    return spark.sparkContext.getCheckpointDir()
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back from there.
+
+    The written table has columns and statistics, so later steps prune and size it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kwloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def exploded(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kwloom import lexicon as lx
 from kwloom.functions import text as tx
-from kwloom.operators.common import exploded, top_per_group
+from kwloom.operators.common import cut_lineage, exploded, top_per_group
 
 
 def term_weights(
@@ -49,16 +50,17 @@ def information_gain(
     Sides are grouped by comparison, never paired text by text. A phrase does not cross
     from one part of a side into the next.
     """
-    weights = term_weights(texts, max_features, stopwords)
+    weights = cut_lineage(term_weights(texts, max_features, stopwords))
 
-    def best(side: str) -> DataFrame:
-        ranked = top_per_group(
-            weights.filter(F.col(side) > 0), ["comparison_id"], [F.desc(side), F.asc("term")], top_n
-        )
-        return ranked.select("comparison_id", "term", F.lit(True).alias(f"in_{side}"))
+    def rank(side: str) -> Column:
+        # terms a side lacks have weight 0 and rank behind all others
+        return F.row_number().over(Window.partitionBy("comparison_id").orderBy(F.desc(side), F.asc("term")))
 
-    concepts = best("mine").join(best("theirs"), ["comparison_id", "term"], "full")
-    ours, rivals = (F.coalesce(c, F.lit(False)) for c in ("in_mine", "in_theirs"))
+    concepts = weights.select(
+        "comparison_id", "term", "mine", "theirs", rank("mine").alias("m"), rank("theirs").alias("t")
+    )
+    ours = (F.col("mine") > 0) & (F.col("m") <= top_n)
+    rivals = (F.col("theirs") > 0) & (F.col("t") <= top_n)
 
     def names(cond: Column) -> Column:
         # at most ``top_n`` concepts a side

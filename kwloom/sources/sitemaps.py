@@ -15,8 +15,24 @@ def _locations(parent: str) -> Column:
     return F.filter(found, lambda u: u != "")
 
 
+def well_formed(xml: Column | str) -> Column:
+    """Whether a document parses; false for null and empty ones."""
+    bad = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = F.from_xml(tx.as_col(xml), "_bad string", bad)
+    return F.coalesce((F.trim(tx.as_col(xml)) != "") & parsed["_bad"].isNull(), F.lit(False))
+
+
+def malformed(sitemaps: DataFrame) -> DataFrame:
+    """(sitemap_url) of the documents that do not parse; the walk skips them."""
+    return sitemaps.where(~well_formed("xml")).select("sitemap_url")
+
+
 def _opened(sitemaps: DataFrame) -> DataFrame:
-    """(sitemap_url, children, urls): an index contributes only its children."""
+    """(sitemap_url, children, urls): an index contributes only its children.
+
+    A document that does not parse contributes nothing.
+    """
+    sitemaps = cut_lineage(sitemaps.where(well_formed("xml")))
     children = _locations("sitemap")
     is_index = F.size(F.xpath("xml", F.lit("//*[local-name()='sitemap']"))) > 0
     return sitemaps.select(

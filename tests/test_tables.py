@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kwloom.functions import bilingual
 from kwloom.operators import assembly, candidates, clustering, gaps, metrics, quality, reports, responses
 from kwloom.plans.pipeline import KeywordPlan
-from kwloom.sources import html, ledger, sinks
+from kwloom.sources import html, ledger, sinks, sitemaps
 from kwloom.sources.documents import read_keyword_json, scan_text_dir, scan_url_list
 
 
@@ -11,8 +12,44 @@ def test_ngram_counts_and_small_corpus(spark):
     s = spark.createDataFrame([("red villa design red villa",), ("red villa cost",)], "sentence string")
     rows = {r["ngram"]: (r["count"], r["df"]) for r in candidates.ngram_counts(s, min_df=1).collect()}
     assert rows["red villa"] == (3, 2) and rows["villa design red"] == (1, 1)
-    assert candidates.effective_min_df(s, 2, 2, 3, ()) == 2
-    assert candidates.effective_min_df(s.limit(1).filter("length(sentence) < 0"), 2, 2, 3, ()) == 1
+    def counted(min_df, *sentences):
+        df = spark.createDataFrame([(x,) for x in sentences], "sentence string")
+        return {r["ngram"] for r in candidates.counted_ngrams(df, (2, 3), min_df, (), ("the",)).collect()}
+
+    assert counted(2, "red villa design", "red villa cost") == {"red villa"}
+    assert counted(3, "red villa design", "red villa cost") == {"red villa"}  # lowered to two sentences
+    assert counted(2, "red villa", "blue house") == {"red villa", "blue house"}  # nothing repeats
+    assert counted(2, "see the villa", "the villa cost", "blue house") == set()  # only an edge n-gram repeats
+
+
+def test_malformed_sitemaps_are_skipped(spark):
+    good = "<urlset><url><loc>http://a/1</loc></url></urlset>"
+    index = "<sitemapindex><sitemap><loc>good</loc></sitemap><sitemap><loc>bad</loc></sitemap></sitemapindex>"
+    maps = spark.createDataFrame(
+        [("good", good), ("bad", good[:40]), ("index", index), ("none", None), ("blank", " ")], "sitemap_url string, xml string"
+    )
+    got = {(r["root"], r["url"]) for r in sitemaps.sitemap_urls(maps, maps.select("sitemap_url")).collect()}
+    assert got == {("good", "http://a/1"), ("index", "http://a/1")}
+    assert {r[0] for r in sitemaps.malformed(maps).collect()} == {"bad", "none", "blank"}
+
+
+def test_repeated_topics_do_not_multiply_items(spark):
+    scored = spark.createDataFrame([("a b", "c", "informational")], "keyword string, cluster string, intent string")
+    for name, kind in (("relative_interest", "double"), ("difficulty", "double"), ("ctr_potential", "double"),
+                       ("serp_features", "array<string>"), ("estimated", "boolean"), ("validated", "boolean"),
+                       ("opportunity_score", "double")):
+        scored = scored.withColumn(name, F.lit(None).cast(kind))
+    topics = spark.createDataFrame([("a b", "two"), ("a b", "one"), ("A b", "three")], "keyword string, topic string")
+    assert [r["parent_topic"] for r in assembly.assemble_items(scored, topics).collect()] == ["one"]
+
+
+def test_locations_match_inside_words_by_default(spark):
+    df = spark.createDataFrame([("bay window",), ("baywindow",)], "k string")
+    terms, places = (("zinc", "زنك", ("توتياء",)),), (("bay", "خليج"),)
+    by_default, whole = (
+        [r["v"] for r in df.select(bilingual.expand_bilingual("k", terms, places, *flag).alias("v")).collect()] for flag in ((), (True,))
+    )
+    assert [len(v) for v in by_default] == [2, 2] and [len(v) for v in whole] == [2, 1]
 
 
 def test_percentile_rank_averages_ties(spark):

@@ -326,7 +326,7 @@ def _(spark, sf_dir):
 
 def _extracted(spark, sf_dir, stem: bool):
     return candidates.extract_candidates(
-        inputs.table(spark, sf_dir, "documents"), stem=stem, small_corpus=False,
+        inputs.table(spark, sf_dir, "documents"), stem=stem,
         filter_options={
             "scraping_artifact": wl.ARTIFACT,
             "grammar_invalid": {"invalid_starts": wl.INVALID_STARTS},
@@ -925,7 +925,7 @@ def _(spark, sf_dir):
 
 def _arabic_texts(spark, sf_dir):
     """Keyword variants in Arabic, made by the term dictionary."""
-    variants = bilingual.expand_bilingual("keyword", wl.TERMS, wl.LOCATIONS)
+    variants = bilingual.expand_bilingual("keyword", wl.TERMS, wl.LOCATIONS, True)
     return inputs.keywords(spark, sf_dir).select("keyword", F.explode(variants).alias("text"))
 
 
@@ -977,7 +977,9 @@ def _(spark, sf_dir):
 @query("k7_bilingual_query")
 def _(spark, sf_dir):
     out = _arabic_texts(spark, sf_dir).withColumn(
-        "q", bilingual.bilingual_query("text", wl.TERMS, wl.LOCATIONS)
+        "q", bilingual.bilingual_query(
+            "text", wl.TERMS, wl.LOCATIONS, whole_word_locations=True
+        )
     )
 
     def pairs(col: str) -> Column:
