@@ -213,6 +213,22 @@ def repeated_windows(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     )
 
 
+def _deflated(docs: DataFrame, carried: Carried) -> DataFrame:
+    """(doc_id, row, packed) and what is carried: texts deflated, so that they shuffle in less space."""
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, row long, packed binary"), *carried.fields])
+    passed, names = carried.inside, schema.names
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", PIECE):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            packed = pa.array([None if t is None else zlib.compress(t, 1) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), packed, *(batch.column(n) for n in passed)], names=names
+            )
+
+    return docs.mapInArrow(run, schema)
+
+
 def dedup(
     df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, carry: Sequence[str] = ()
 ) -> DataFrame:
@@ -235,15 +251,18 @@ def dedup(
         .groupBy("doc_id", F.shiftright(place, 32).alias("row"))
         .agg(F.collect_list(place.bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("starts"))  # of one document
     )
-    marked = docs.join(marks, ["doc_id", "row"], "left").select("doc_id", "text", "starts", *carried.inside)
+    marked = _deflated(docs, carried).join(marks, ["doc_id", "row"], "left")
+    marked = marked.select("doc_id", "packed", "starts", *carried.inside)
     whole = [T.StructField("_text", T.StringType())] if text_col in carry else []
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept string")
     schema = T.StructType([*schema, *whole, *carried.fields])
     passed, names = carried.inside, schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", PIECE):
-            words = Words.of(batch.column("text"))
+        for batch in sliced(batches, "packed", PIECE // 3):
+            whole_texts = [None if t is None else zlib.decompress(t) for t in batch.column("packed").to_pylist()]
+            whole_texts = pa.array(whole_texts, pa.large_binary())
+            words = Words.of(whole_texts)
             first = np.cumsum(words.per_doc) - words.per_doc
             starts = batch.column("starts")
             counts = pa.compute.list_value_length(starts).fill_null(0).to_numpy(zero_copy_only=False)
@@ -270,7 +289,7 @@ def dedup(
                 [
                     batch.column("doc_id"), pa.array(words.per_doc, pa.int64()),
                     pa.array(removed, pa.int64()), pa.array(texts, pa.string()),
-                    *([batch.column("text")] if whole else []), *(batch.column(n) for n in passed),
+                    *([whole_texts.cast(pa.large_string()).cast(pa.string())] if whole else []), *(batch.column(n) for n in passed),
                 ],
                 names=names,
             )
