@@ -16,9 +16,9 @@ from kwloom.llm.base import sliced, spread
 
 NO_RANK = np.int32(2**31 - 1)
 #: Cells of one padded matrix; more rows of a length go into the next one.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Words a task remembers; when full, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -27,25 +27,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens end to end, where each token's start, and how many it has."""
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+    return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
 @dataclass
 class Vocabulary:
-    """A vocabulary as arrays: token bytes end to end, and a hash table of mergeable pairs."""
+    """A vocabulary for encoding: ranks, and a hash table of mergeable pairs."""
 
     ranks: dict[bytes, int]
-    blob: np.ndarray
-    starts: np.ndarray
-    lengths: np.ndarray
     of_byte: np.ndarray
     keys: np.ndarray
     values: np.ndarray
 
     @classmethod
     def build(cls, ranks: dict[bytes, int]) -> Vocabulary:
-        size = max(ranks.values()) + 1
-        tokens = [b""] * size
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = {
             (left << 32) | right: rank
@@ -67,10 +68,7 @@ class Vocabulary:
             rest = np.ones(len(at), dtype=bool)
             rest[won] = False
             left_over, ranked, at = left_over[rest], ranked[rest], (at[rest] + 1) & (slots - 1)
-        return cls(
-            ranks, np.frombuffer(b"".join(tokens), dtype=np.uint8),
-            np.cumsum(lengths) - lengths, lengths, of_byte, keys, values,
-        )
+        return cls(ranks, of_byte, keys, values)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each joined pair, ``NO_RANK`` where it is no token; -1 marks padding."""
@@ -162,10 +160,6 @@ class Vocabulary:
             out[spread(starts[some], counts[some])] = flat
         return out, counts
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the tokens, end to end."""
-        return self.blob[spread(self.starts[ids], self.lengths[ids])]
-
 
 class Words:
     """Token ids of texts, by way of the distinct words of a batch.
@@ -248,7 +242,7 @@ def encode(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(vocabulary.value, regex.compile(pattern))
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             ids, counts = words.encode(batch.column("text"))
             offsets = np.concatenate([[0], np.cumsum(counts)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
@@ -262,18 +256,18 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col:
 
     An id outside the vocabulary fails the query. Other columns pass through.
     """
-    vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary.build(read_ranks(ranks_path)))
+    tokens = df.sparkSession.sparkContext.broadcast(token_bytes(read_ranks(ranks_path)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary.value
+        blob, starts, lengths = tokens.value
         for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
+            for begin in range(0, whole.num_rows, 128):
+                batch = whole.slice(begin, 128)
                 lists = batch.column(ids_col)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
                 counts = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-                data = vocab.decode(ids) if len(ids) else np.zeros(0, dtype=np.uint8)
-                per_token = np.concatenate([[0], np.cumsum(vocab.lengths[ids])]) if len(ids) else np.zeros(1, dtype=np.int64)
+                data = blob[spread(starts[ids], lengths[ids])] if len(ids) else np.zeros(0, dtype=np.uint8)
+                per_token = np.concatenate([[0], np.cumsum(lengths[ids])]) if len(ids) else np.zeros(1, dtype=np.int64)
                 offsets = per_token[np.concatenate([[0], np.cumsum(counts)])]
                 value = pa.Array.from_buffers(
                     pa.binary(), len(counts),

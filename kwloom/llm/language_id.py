@@ -29,7 +29,7 @@ ROUNDS = 4
 #: What each piece is counted before any text is seen, and the probability of an unknown letter.
 PRIOR, UNKNOWN = 0.01, 1e-6
 #: Words whose scores a task remembers; when full, it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 START = "▁"
@@ -116,7 +116,7 @@ def forward(lattice: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def _by_length(words: list[str], rows: int = 20_000) -> Iterator[np.ndarray]:
+def _by_length(words: list[str], rows: int = 8_000) -> Iterator[np.ndarray]:
     """Indices of words of one length, at most ``rows`` at a time."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     order = np.argsort(sizes, kind="stable")
@@ -233,7 +233,7 @@ def predict(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, at_word = shared.value, {}
         table = np.zeros((0, len(model.languages) if model else 0))
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             known = batch.column("known").to_numpy(zero_copy_only=False)
             if model is None:
                 known = np.zeros(len(known), dtype=bool)

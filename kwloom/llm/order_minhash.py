@@ -146,7 +146,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 2 << 20):
             parts = shingles(Words.of(batch.column("text")), size)
             values = [sketch(p).view(np.int64) for p in parts if len(p)]
             ends = np.cumsum([0, *(SKETCHES if len(p) else 0 for p in parts)])
@@ -207,7 +207,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "left"):
+        for batch in sliced(batches, "left", 2 << 20):
             left = shingles(Words.of(batch.column("left")), size)
             right = shingles(Words.of(batch.column("right")), size)
             keep = pa.array([similar(x, y, threshold) for x, y in zip(left, right, strict=True)], pa.bool_())

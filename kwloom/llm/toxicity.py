@@ -30,7 +30,7 @@ WARM, EPOCHS, BATCH, RATE = 3, 8, 64, 0.01
 #: Share of words shown as unknown in training.
 UNKNOWN = 0.15
 #: Words a task remembers, and windows it scores at a time.
-REMEMBERED, AT_ONCE = 250_000, 4096
+REMEMBERED, AT_ONCE = 120_000, 4096
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -284,7 +284,7 @@ def score(df: DataFrame, network: Network, text_col: str = "text", id_col: str =
         net = shared.value
         at_word: dict[str, int] = {}
         tables = [np.zeros((0, 3 * HIDDEN), dtype=np.float32)] * 2
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", 1 << 20):
             parts = pa.compute.split_pattern(batch.column("text").cast(pa.large_string()), " ")
             counts = pa.compute.list_value_length(parts).to_numpy().astype(np.int64)
             coded = parts.flatten().dictionary_encode()
