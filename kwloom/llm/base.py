@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import Generic, TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+V = TypeVar("V")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only a session without one gets its own."""
@@ -33,6 +38,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Sent(Generic[V]):
+    """A value of bounded size on its way to all tasks; its class travels with it."""
+
+    def __init__(self, spark: SparkSession, value: V) -> None:
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> V:
+        """A copy, made anew at each call."""
+        return pickle.loads(self._bytes.value)
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return (F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % folds).cast("int")

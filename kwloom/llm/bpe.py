@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kwloom.llm.base import sliced, spread
+from kwloom.llm.base import Sent, sliced, spread
 
 NO_RANK = np.int32(2**31 - 1)
 #: Cells of one padded matrix; more rows of a length go into the next one.
@@ -236,7 +236,7 @@ def encode(
     A very long text is one row of work: memory is in proportion to the longest text. The
     vocabulary file is read on the driver and sent to the tasks; its size is fixed.
     """
-    vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary.build(read_ranks(ranks_path)))
+    vocabulary = Sent(df.sparkSession, Vocabulary.build(read_ranks(ranks_path)))
     chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
 
@@ -256,7 +256,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col:
 
     An id outside the vocabulary fails the query. Other columns pass through.
     """
-    tokens = df.sparkSession.sparkContext.broadcast(token_bytes(read_ranks(ranks_path)))
+    tokens = Sent(df.sparkSession, token_bytes(read_ranks(ranks_path)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob, starts, lengths = tokens.value

@@ -135,3 +135,30 @@ def leaks(
         .groupBy("doc_id", "item_id").agg(best.alias("best"))
         .select("doc_id", "item_id", "best.similarity", (-F.col("best.before")).alias("at"))
     )
+
+
+def duckdb_sql(threshold: float = THRESHOLD) -> str:
+    """``leaks`` over ``documents`` and ``benchmark`` in DuckDB SQL, without fingerprints."""
+
+    def cut(table: str, key: str) -> str:
+        clean = "trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g'))"
+        return f"SELECT {key}, string_split({clean}, ' ') AS w FROM {table} WHERE {clean} <> ''"
+
+    def grams(w: str) -> str:
+        last = f"greatest(len({w}) - {SHINGLE - 1}, 1)"
+        return f"list_transform(range(1, {last} + 1), lambda i: array_to_string({w}[i:i + {SHINGLE - 1}], ' '))"
+
+    return f"""
+WITH d AS ({cut('documents', 'doc_id')}),
+i AS (SELECT item_id, len(w) AS length, {grams('w')} AS s FROM ({cut('benchmark', 'item_id')})),
+dg AS (SELECT doc_id, unnest(s) AS g, generate_subscripts(s, 1) - 1 AS place FROM (SELECT doc_id, {grams('w')} AS s FROM d)),
+ig AS (SELECT item_id, length, unnest(s) AS g, generate_subscripts(s, 1) - 1 AS shift FROM i),
+h AS (SELECT DISTINCT doc_id, item_id, length, greatest(0, place - shift) AS pos FROM dg JOIN ig USING (g)),
+v AS (SELECT doc_id, item_id, pos, {grams('v')} AS s FROM (SELECT h.*, w[pos + 1:pos + length] AS v FROM h JOIN d USING (doc_id))),
+a AS (SELECT doc_id, item_id, pos, g, count(*) AS n FROM (SELECT doc_id, item_id, pos, unnest(s) AS g FROM v) GROUP BY ALL),
+b AS (SELECT item_id, g, count(*) AS n FROM ig GROUP BY ALL),
+c AS (SELECT doc_id, item_id, pos, sum(least(a.n, b.n))::BIGINT AS shared FROM a JOIN b USING (item_id, g) GROUP BY ALL),
+r AS (SELECT doc_id, item_id, pos, shared / (len(v.s) + len(i.s) - shared) AS similarity
+  FROM c JOIN v USING (doc_id, item_id, pos) JOIN i USING (item_id))
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(pos, (-similarity, pos))::INTEGER AS "at"
+FROM r WHERE similarity >= {threshold} GROUP BY doc_id, item_id"""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from kwloom.llm.base import Carried, fold, sample_ids, sliced
+from kwloom.llm.base import Carried, Sent, fold, sample_ids, sliced
 from kwloom.llm.hashing import mixed, powers
 
 #: Documents of a language that are learned from, and its most frequent words among them.
@@ -228,7 +228,7 @@ def predict(
     )
     schema = T.StructType([docs.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *carried.fields])
     passed, names = carried.inside, schema.names
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(df.sparkSession, model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, at_word = shared.value, {}

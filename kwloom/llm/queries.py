@@ -98,4 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.duckdb_sql(),
+    "op7_decontaminate": decontaminate.duckdb_sql(),
+    "op9_substring_dedup": substring_dedup.duckdb_sql(),
 }

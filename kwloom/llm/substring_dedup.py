@@ -298,3 +298,19 @@ def dedup(
     return marked.mapInArrow(run, schema).select(
         F.col("doc_id").alias(id_col), "n_words", "n_removed", "kept", *text, *carried.restored()
     )
+
+
+def duckdb_sql(window: int = WINDOW) -> str:
+    """The digests of ``dedup`` over ``documents`` in DuckDB SQL, without a prefilter."""
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {window - 2})) AS a FROM w WHERE len(ws) >= {window}),
+k AS (SELECT doc_id, a, md5(array_to_string(ws[a:a + {window - 1}], ' ')) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h),
+m AS (SELECT DISTINCT doc_id, unnest(range(a, a + {window})) AS p FROM k JOIN f USING (h) WHERE first < doc_id),
+g AS (SELECT doc_id, list(p) AS gone FROM m GROUP BY doc_id),
+o AS (SELECT doc_id, ws, coalesce(len(gone), 0) AS n_removed, coalesce(gone, []) AS gone FROM w LEFT JOIN g USING (doc_id)),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN m USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM o LEFT JOIN t USING (doc_id)"""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kwloom.llm.base import fold, sample_ids, sliced
+from kwloom.llm.base import Sent, fold, sample_ids, sliced
 from kwloom.llm.hashing import mixed
 
 #: Words of a window, and from one window's start to the next.
@@ -278,7 +278,7 @@ def score(df: DataFrame, network: Network, text_col: str = "text", id_col: str =
     """
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(clean_words(F.col(text_col).cast("string")), F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(network)
+    shared = Sent(df.sparkSession, network)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value

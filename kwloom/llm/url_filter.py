@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kwloom.llm.base import Sent
+
 TOKEN = r"[a-z0-9%]{2,}"
 #: Fixed values: (action, pattern). Exceptions (allow) win over blocks.
 PATTERN_RULES = (
@@ -131,7 +133,7 @@ def match(urls: DataFrame, rules: Sequence[Rule]) -> Column:
     The rules are a list the caller holds, so their index goes to every task.
     """
     filed, rest = index(rules, token_counts(urls, rules))
-    shared = urls.sparkSession.sparkContext.broadcast((list(rules), filed, rest))
+    shared = Sent(urls.sparkSession, (list(rules), filed, rest))
 
     @F.pandas_udf("string")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
