@@ -29,7 +29,7 @@ VOID_TAGS = frozenset(
     """.split()
 )
 
-ELEMENT = "struct<id:int,path:array<int>,tag:string,cls:string,ident:string,attrs:string,name:string,content:string>"
+ELEMENT = "struct<id:int,path:array<int>,tag:string,cls:string,ident:string,attrs:string,name:string,content:string,chars:int,linked:int>"
 RUN = "struct<path:array<int>,text:string>"
 
 
@@ -97,7 +97,22 @@ def _flatten(html: str | None) -> tuple[list, list]:
     parser = _Flattener()
     parser.feed(html or "")
     parser.close()
-    return parser.elements, parser.runs
+    return _measured(parser.elements, parser.runs), parser.runs
+
+
+def _measured(elements: list[tuple], runs: list[tuple]) -> list[tuple]:
+    """Elements with the length of their text and of the text in links below them.
+
+    One walk up from every run, so a page costs its runs times their depth.
+    """
+    chars, linked = [0] * len(elements), [0] * len(elements)
+    for path, text in runs:
+        links = 0
+        for i in reversed(path):
+            chars[i] += len(text)
+            linked[i] += links * len(text)
+            links += elements[i][2] == "a"
+    return [(*e, c, n) for e, c, n in zip(elements, chars, linked)]
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -106,7 +121,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     page_type, url_type = (dict(kept.dtypes)[c] for c in ("page_id", "url"))
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("id", "path", "tag", "cls", "ident", "attrs", "name", "content")
+        names = ("id", "path", "tag", "cls", "ident", "attrs", "name", "content", "chars", "linked")
         for batch in batches:
             parsed = [_flatten(h) for h in batch["html"]]
             yield pd.DataFrame(
@@ -230,6 +245,11 @@ def link_share(element: Column, elements: Column, runs: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(linked / total)
 
 
+def _share(element: Column) -> Column:
+    """``link_share`` of an element of a page as parsed, from the lengths the parser counted."""
+    return F.when(element["chars"] == 0, F.lit(1.0)).otherwise(element["linked"] / element["chars"])
+
+
 def _link_heavy_ids(elements: Column, runs: Column, threshold: float) -> Column:
     boxes = F.filter(elements, lambda e: e["tag"].isin("div", "section", "ul", "ol"))
     return _ids(
@@ -297,8 +317,8 @@ def link_density(parsed: DataFrame) -> DataFrame:
         lambda e: F.struct(
             e["id"].alias("element"),
             e["tag"].alias("tag"),
-            _length(_inside(F.col("runs"), e)).alias("chars"),
-            link_share(e, F.col("elements"), F.col("runs")).alias("density"),
+            e["chars"].alias("chars"),
+            _share(e).alias("density"),
         ),
     )
     return parsed.select("page_id", F.explode(rows).alias("b")).select(
@@ -313,8 +333,8 @@ def content_blocks(parsed: DataFrame) -> DataFrame:
         lambda e: F.struct(
             e["id"].alias("element"),
             e["tag"].alias("tag"),
-            _length(_inside(F.col("runs"), e)).alias("chars"),
-            link_share(e, F.col("elements"), F.col("runs")).alias("density"),
+            e["chars"].alias("chars"),
+            _share(e).alias("density"),
             _marked(e, lx.CONTENT_MARKERS).alias("positive"),
             _marked(e, lx.CHROME_MARKERS).alias("negative"),
         ),

@@ -170,3 +170,14 @@ def test_pipeline_smoke(spark):
     assert all(0.0 <= r["opportunity_score"] <= 1.0 for r in items)
     pairs = [(r["cluster"], r["keyword"]) for r in items]
     assert len(pairs) == len(set(pairs))
+
+
+def test_pages_with_many_links_cost_in_proportion(spark):
+    body = "".join(f'<p>word {i} <a href="/{i}">link number {i}</a></p>' for i in range(10_000))
+    page = spark.createDataFrame([(1, "u", f"<div>{body}</div>")], "page_id long, url string, html string")
+    parsed = html.parse_pages(page)
+    box = html.link_density(parsed).collect()
+    linked = sum(len(f"link number {i}") for i in range(10_000))
+    words = sum(len(f"word {i}") for i in range(10_000))
+    assert [(r["chars"], round(r["density"], 9)) for r in box] == [(linked + words, round(linked / (linked + words), 9))]
+    assert html.content_blocks(parsed).count() == 20_001
