@@ -11,30 +11,29 @@ from pyspark.sql.window import Window
 from kwloom import lexicon as lx
 from kwloom.functions import classify, scoring
 from kwloom.functions import text as tx
-from kwloom.operators.common import scalar
+from kwloom.operators.common import cut_lineage, scalar
 from kwloom.operators.universal import with_universal_penalty
 
-RANK_STEPS = 256
-
 
 def _rank_table(values: DataFrame) -> DataFrame:
     """(value, fraction): average-tie rank over n for each distinct (value, n).
 
-    Distinct values fall into order-preserving buckets: bucket totals are accumulated
-    over the few buckets, values inside their bucket, so no task sees the whole table.
+    Distinct values are dealt out by range and written with their part: part totals are
+    accumulated over the few parts, values inside their part, so no task sees the whole
+    table however the values are spread.
     """
-    bucketed = values.withColumn("bucket", F.floor(F.col("value") * RANK_STEPS))
-    totals = bucketed.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
-    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("before", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)))
-    inside = Window.partitionBy("bucket").orderBy("value")
-    ranked = bucketed.withColumn(
+    dealt = cut_lineage(values.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    totals = dealt.groupBy("part").agg(F.sum("n").alias("in_part"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("before", F.coalesce(F.sum("in_part").over(upto), F.lit(0)))
+    inside = Window.partitionBy("part").orderBy("value")
+    ranked = dealt.withColumn(
         "below",
         F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     )
-    size = scalar(values, F.sum("n"))
+    size = scalar(dealt, F.sum("n"))
     rank = F.col("before") + F.col("below") + (F.col("n") + 1) / F.lit(2.0)
-    return ranked.join(offsets, "bucket").select(
+    return ranked.join(offsets, "part").select(
         "value", F.when(size <= 1, F.lit(0.5)).otherwise(rank / size).alias("fraction")
     )
 

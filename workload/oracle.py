@@ -1276,6 +1276,8 @@ FROM (SELECT text, regexp_matches(text, '{ARABIC}') AS a, {normal('text')} AS nt
     "variants",
 )
 
+add("m5_keyword_batches", "SELECT count(*)::BIGINT AS n_keywords, true AS fits FROM kw", "kw")
+
 # --- L ---------------------------------------------------------------------------------------
 
 STOPPED2 = f"list_filter(t, lambda w: NOT list_contains({arr(lx.ENGLISH_STOPWORDS)}, w))"

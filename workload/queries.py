@@ -1107,7 +1107,7 @@ def _batched(spark, sf_dir, answer: Column):
     A batch holds at most 50 keywords. Some keywords are left out of their answer and
     some answers are broken.
     """
-    batches = responses.keyword_batches(inputs.keywords(spark, sf_dir).select("keyword"), 50, 500)
+    batches = responses.keyword_batches(inputs.keywords(spark, sf_dir).select("keyword"), 50)
     told = F.when(F.length("keyword") % 5 != 0, F.struct(F.col("keyword").alias("k"), answer.alias("v")))
     entries = F.map_from_entries(F.collect_list(told))
     stored = batches.groupBy("batch_id").agg(
@@ -1154,8 +1154,9 @@ def _(spark, sf_dir):
 
 @query("m5_keyword_batches")
 def _(spark, sf_dir):
-    out = responses.keyword_batches(inputs.keywords(spark, sf_dir).select("keyword"), 50, 500)
-    return out.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    out = responses.keyword_batches(inputs.keywords(spark, sf_dir).select("keyword"), 50)
+    sizes = out.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("n_keywords"), (F.max("n") <= 50).alias("fits"))
 
 
 # --- N and O: quality and reports ---------------------------------------------------------------------------------------------
