@@ -181,3 +181,14 @@ def test_pages_with_many_links_cost_in_proportion(spark):
     words = sum(len(f"word {i}") for i in range(10_000))
     assert [(r["chars"], round(r["density"], 9)) for r in box] == [(linked + words, round(linked / (linked + words), 9))]
     assert html.content_blocks(parsed).count() == 20_001
+
+
+def test_keyword_json_in_every_layout(spark, tmp_path):
+    (tmp_path / "lines").write_text('{"keyword": "a b", "cluster": "C"}\n\n{"keyword": "c d", "cluster": "e"}\n')
+    (tmp_path / "array").write_text('[\n {"keyword": "a b",\n "cluster": "C"},\n {"keyword": "c d", "cluster": "e"}\n]\n')
+    (tmp_path / "one").write_text('[{"keyword": "a b", "cluster": "C"}, {"keyword": "c d", "cluster": "e"}]')
+    (tmp_path / "none").write_text("")
+    for name in ("lines", "array", "one"):
+        assert sorted(r["keyword"] for r in read_keyword_json(spark, str(tmp_path / name)).collect()) == ["a b", "c d"]
+        assert read_keyword_json(spark, str(tmp_path / name), "c").count() == 1
+    assert read_keyword_json(spark, str(tmp_path / "none")).count() == 0

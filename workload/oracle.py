@@ -1358,6 +1358,27 @@ add(
     "l8_citation_excerpt",
     f"""SELECT doc_id, {excerpt('text', 300)} AS excerpt, {excerpt("('«' || text)", 80)} AS short FROM documents""",
 )
+add(
+    "l3_faq_jsonld",
+    """SELECT conv_id, '{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[' || string_agg(
+    '{"@type":"Question","name":' || to_json(q.text) || ',"acceptedAnswer":{"@type":"Answer","text":' || to_json(a.text) || '}}',
+    ',' ORDER BY q.turn, q.text, a.text) || ']}' AS json_ld
+  FROM conversations q JOIN conversations a USING (conv_id)
+  WHERE q.role = 'user' AND a.role = 'assistant' AND a.turn = q.turn + 1 GROUP BY conv_id""",
+)
+add(
+    "l4_howto_jsonld",
+    """SELECT doc_id, '{"@context":"https://schema.org","@type":"HowTo"' || coalesce(',"name":' || to_json(first), '') || ',"step":['
+    || coalesce(steps, '') || ']' || ',"description":' || to_json(lang) || '}' AS json_ld
+  FROM documents LEFT JOIN (SELECT doc_id, arg_min(sentence, sent_no) AS first, string_agg(
+    '{"@type":"HowToStep","position":' || (sent_no + 1) || ',"text":' || to_json(sentence) || '}', ',' ORDER BY sent_no) AS steps
+    FROM sent GROUP BY doc_id) USING (doc_id)""",
+    "sent",
+)
+add("a2_scan_url_list", "SELECT trim(url) AS url, trim(url) AS title, '' AS text FROM pages WHERE trim(url) <> ''")
+add("a10_read_keyword_json", "SELECT keyword, keyword[1] AS cluster FROM kw WHERE keyword[1] = 't'", "kw")
+for _name in ("a11_write_keywords", "a12_write_run"):
+    add(_name, "SELECT keyword, split_part(keyword, ' ', 1) AS cluster FROM kw", "kw")
 add(
     "l5_business_jsonld",
     """SELECT s_suppkey, '{"@context":"https://schema.org","@type":"HomeAndConstructionBusiness","name":' || to_json(s_name)

@@ -5,6 +5,7 @@ Arrays are joined with ``|`` so that results compare as plain values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -18,7 +19,8 @@ from kwloom.operators import (
     assembly, candidates, clustering, gaps, information, metrics, places, quality, reports,
     responses, universal,
 )
-from kwloom.sources import documents, html, ledger, search, sitemaps
+from kwloom.operators.common import shared_folder
+from kwloom.sources import documents, html, ledger, search, sinks, sitemaps
 from workload import inputs
 from workload import lexicons as wl
 
@@ -243,6 +245,42 @@ def _(spark, sf_dir):
     return gone.select("run_id", "status", "updated_at")
 
 
+def _written(spark, suffix: str) -> str:
+    return f"{shared_folder(spark)}/kwloom-{uuid.uuid4().hex}{suffix}"
+
+
+def _clustered_keywords(spark, sf_dir):
+    return inputs.keywords(spark, sf_dir).select("keyword", F.split_part("keyword", F.lit(" "), F.lit(1)).alias("cluster"))
+
+
+@query("a2_scan_url_list")
+def _(spark, sf_dir):
+    path = _written(spark, "")
+    inputs.table(spark, sf_dir, "pages").select("url").write.text(path)
+    return documents.scan_url_list(spark, path)
+
+
+@query("a10_read_keyword_json")
+def _(spark, sf_dir):
+    path = _written(spark, ".json")
+    _clustered_keywords(spark, sf_dir).withColumn("cluster", F.left("keyword", F.lit(1))).write.json(path)
+    return documents.read_keyword_json(spark, path, "T").select("keyword", "cluster")
+
+
+@query("a11_write_keywords")
+def _(spark, sf_dir):
+    path = _written(spark, ".json")
+    sinks.write_keywords(_clustered_keywords(spark, sf_dir), path)
+    return documents.read_keyword_json(spark, path).select("keyword", "cluster")
+
+
+@query("a12_write_run")
+def _(spark, sf_dir):
+    path = _written(spark, "")
+    sinks.write_run(_clustered_keywords(spark, sf_dir), path, "20260101000000")
+    return spark.read.parquet(path).where("run_id = '20260101000000'").select("keyword", "cluster")
+
+
 # --- B: web pages ---------------------------------------------------------------------------
 
 
