@@ -89,7 +89,7 @@ def test_places_and_bilingual(evaluate):
     e = evaluate(extract_entities("t"), "villa renovation in mussafah", "plain")
     assert (e[0]["emirate"], e[0]["district"], e[0]["is_contracting"]) == ("Abu Dhabi", "Mussafah", True)
     assert not e[1]["is_local"]
-    out = evaluate(bilingual.expand_bilingual("t"), "villa painting in dubai")[0]
+    out = evaluate(bilingual.expand_bilingual("t", whole_word_locations=True), "villa painting in dubai")[0]
     assert "فيلا painting in dubai" in out and "villa painting في dubai" in out
     assert not any("pa" + "في" in v for v in out)
     assert evaluate(bilingual.normalize_arabic("t"), "غرفةٌ أحمد") == ["غرفه احمد"]
