@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -50,6 +53,14 @@ class Sent(Generic[V]):
         return pickle.loads(self._bytes.value)
 
 
+def trim_memory() -> None:
+    """Give what a finished task no longer needs back to the system: workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return (F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % folds).cast("int")

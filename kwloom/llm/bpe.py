@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kwloom.llm.base import Sent, sliced, spread
+from kwloom.llm.base import Sent, sliced, spread, trim_memory
 
 NO_RANK = np.int32(2**31 - 1)
 #: Cells of one padded matrix; more rows of a length go into the next one.
@@ -247,6 +247,8 @@ def encode(
             offsets = np.concatenate([[0], np.cumsum(counts)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "token_ids"])
+        words = batch = lists = ids = counts = None
+        trim_memory()
 
     return chosen.mapInArrow(run, f"id {kind}, token_ids array<int>").withColumnRenamed("id", id_col)
 
@@ -274,6 +276,8 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col:
                     [None, pa.array(offsets, pa.int32()).buffers()[1], pa.py_buffer(data.tobytes())],
                 )
                 yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, out_col])
+        whole = batch = lists = ids = data = value = None
+        trim_memory()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{fields}, `{out_col}` binary")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from kwloom.llm.base import Carried, Sent, fold, sample_ids, sliced
+from kwloom.llm.base import Carried, Sent, fold, sample_ids, sliced, trim_memory
 from kwloom.llm.hashing import mixed, powers
 
 #: Documents of a language that are learned from, and its most frequent words among them.
@@ -263,6 +263,9 @@ def predict(
                 [batch.column("id"), pa.array(told, pa.string()), pa.array(score), *(batch.column(n) for n in passed)],
                 names=names,
             )
+        model = table = batch = parts = coded = each = None
+        at_word.clear()
+        trim_memory()
 
     return docs.mapInArrow(run, schema).select(F.col("id").alias(id_col), "lang_pred", "score", *carried.restored())
 
