@@ -24,9 +24,8 @@ THRESHOLD = 0.8
 #: Sketches, and minima of each: at 0.8 a pair shares a given sketch with probability 0.8**4
 #: about, and none of 24 with 0.59**24 = 3 in a million.
 SKETCHES, MINIMA = 24, 4
-#: A bucket with more texts is not paired in full: its members meet its first text, and are
-#: dealt anew by this many further sketches each.
-BUCKET, NEXT = 16, 6
+#: Texts of a bucket with more texts are compared by their rare shingles, in blocks of about so many.
+BUCKET, BLOCK = 16, 512
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, (2, SKETCHES, 1), dtype=np.uint64) | np.uint64(1)
 #: Draws made at a time: all sketches of a text together, of very long texts one by one.
 DRAWS = 1 << 22
@@ -64,9 +63,14 @@ def occurrences(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def label(hashes: np.ndarray) -> np.ndarray:
+    """The shingles told apart by how often each has come before."""
+    return mixed(hashes + occurrences(hashes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """The order MinHash sketches of a shingle sequence; a short one is its own sketch."""
-    labelled = mixed(hashes + occurrences(hashes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    labelled = label(hashes)
     take = min(MINIMA, len(labelled))
     step = max(1, min(SKETCHES, DRAWS // len(labelled)))
     parts = []
@@ -162,41 +166,129 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, digest binary, n int, sketch array<long>")
 
 
-def _paired(members: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the members of small buckets and of each large bucket's first text; the large ones.
+def candidate_pairs(texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b) of small buckets whose lengths allow the threshold; (id, block) of texts in large ones.
 
-    ``members`` has (id, n, *keys). Counting combines before the shuffle, so a bucket of any
-    size costs no task more than its rows.
+    ``texts`` has (id, n, sketch). Pairs of two texts in large buckets are left to :func:`crowded_links`.
+    Counting combines before the shuffle, so a bucket of any size costs no task more than its rows. Texts
+    are put in blocks by the least of their large buckets, which most near copies share.
     """
-    counted = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("head"))
+    keys = ["at", "value"]
+    members = texts.select("id", "n", F.posexplode("sketch").alias("at", "value"))
+    counted = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     full = members.join(counted.where("size > 1"), keys)
+    large = full.where(F.col("size") > BUCKET).groupBy("id").agg(F.min(F.xxhash64("at", "value")).alias("group"))
+    sizes = large.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    crowd = stored(large.join(sizes, "group").select("id", F.xxhash64("group", part).alias("block")))
     small = full.where(F.col("size") <= BUCKET).select("id", "n", *keys)
     other = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), *keys)
-    pairs = small.join(other, keys).where("id < b").select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb")
-    large = full.where(F.col("size") > BUCKET)
-    stars = large.where("head.id < id").select(
-        F.col("head.id").alias("a"), F.col("head.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")
+    fits = F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9))
+    pairs = (
+        small.withColumnsRenamed({"id": "a", "n": "na"}).join(other, keys).where("a < b").where(fits)
+        .select("a", "b").distinct()
     )
-    return pairs.union(stars), large
+    in_crowd = crowd.select(F.col("id").alias("a"), F.lit(True).alias("crowd_a"))
+    pairs = pairs.join(in_crowd, "a", "left").join(in_crowd.toDF("b", "crowd_b"), "b", "left")
+    return pairs.where("crowd_a is null or crowd_b is null").select("a", "b"), crowd
+
+
+def _labelled(texts: DataFrame, size: int) -> DataFrame:
+    """(id, block, n, tokens): the labelled shingles of each text."""
+    kind = texts.schema["id"].dataType.simpleString()
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 2 << 20):
+            parts = [label(p) for p in shingles(Words.of(batch.column("text")), size)]
+            lengths = np.array(list(map(len, parts)), dtype=np.int32)
+            flat = np.concatenate([*parts, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("block"), pa.array(lengths), pa.ListArray.from_arrays(ends, pa.array(flat))],
+                names=["id", "block", "n", "tokens"],
+            )
 
-def candidate_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b) that share a sketch and whose lengths allow the threshold.
+    return texts.select("id", "block", "text").mapInArrow(run, f"id {kind}, block long, n int, tokens array<long>")
 
-    ``texts`` has (id, n, sketch). A bucket of many texts is met by its first text, and dealt
-    anew by pairs of sketches, in which texts alike by a shared passage only part again.
+
+def prefixes(texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(token, id, block): the rarest labelled shingles of each of ``texts`` (id, block, text).
+
+    Similar texts of n and m shingles share at least threshold * max(n, m) of them. So the first
+    n - threshold * n + 1 of each, in one order, have one in common. The order is by frequency;
+    a shingle that no other text has counts, but fetches nothing.
     """
-    members = texts.select("id", "n", "sketch", F.posexplode("sketch").alias("at", "value"))
-    first, large = _paired(members.select("id", "n", "at", "value"), ["at", "value"])
-    again = (
-        large.select("id", "n", "at", "value").join(texts.select("id", "sketch"), "id")
-        .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(NEXT))))
-        .withColumn("next", F.get("sketch", F.pmod(F.col("at") + F.col("step") * F.lit(4) - 1, F.lit(SKETCHES))))
-        .select("id", "n", "at", "value", "step", "next")
+    tokens = _labelled(texts, size).select("id", "block", "n", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = tokens.join(shared, "token").groupBy("id", "block", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+    take = F.size("own") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1
+    return own.where(take > 0).select(
+        "id", "block", F.explode(F.slice("own.token", F.lit(1), take.cast("int"))).alias("token")
     )
-    second, _ = _paired(again, ["at", "value", "step", "next"])
-    fits = F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9))
-    return first.union(second).where(fits).select("a", "b").distinct()
+
+
+def crowded_links(texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links among ``texts`` (id, block, text), all of them: (id, null, links) and (id, other, 0).
+
+    Texts that share a rare shingle are compared, each pair of blocks at one place. The links are
+    counted there; rows with ``other`` are only as many as join what the place links, so that no
+    table grows with the square of a group.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    lists = stored(prefixes(texts, size, threshold).groupBy("token", "block").agg(F.collect_list("id").alias("ids")))
+    right = lists.select("token", F.col("block").alias("j"), F.col("ids").alias("right"))
+    met = stored(
+        lists.select("token", F.col("block").alias("i"), F.col("ids").alias("left")).join(right, "token")
+        .where("i < j or (i = j and size(left) > 1)").select("i", "j", "left", "right").distinct()
+    )
+    ids = met.select("i", "j", F.explode("left").alias("id")).union(met.select("i", "j", F.explode("right").alias("id")))
+    sent = ids.distinct().join(texts.select("id", "text"), "id").withColumnsRenamed({"i": "of_i", "j": "of_j"})
+
+    def run(met: pa.Table, sent: pa.Table) -> pa.Table:
+        names = sent.column("id").to_pylist()
+        at = {name: k for k, name in enumerate(names)}
+        meet = np.zeros((len(names), len(names)), dtype=bool)
+        for left, right in zip(met.column("left").to_pylist(), met.column("right").to_pylist(), strict=True):
+            meet[np.ix_([at[x] for x in left], [at[x] for x in right])] = True
+        degree, joined = linked(shingles(Words.of(sent.column("text").combine_chunks()), size), meet, threshold)
+        some = np.flatnonzero(degree)
+        rows = [(names[k], None, int(degree[k])) for k in some] + [(names[a], names[b], 0) for a, b in joined]
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], []]
+        type_ = sent.schema.field("id").type
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (type_, type_, pa.int64()), strict=True)], names=["id", "other", "links"])
+
+    return met.groupBy("i", "j").cogroup(sent.groupBy("of_i", "of_j")).applyInArrow(run, f"id {kind}, other {kind}, links long")
+
+
+def linked(parts: list[np.ndarray], meet: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Similar texts among the pairs that ``meet`` marks: links of each, and pairs that join what is linked."""
+    lengths = np.array(list(map(len, parts)))
+    _, flat = np.unique(np.concatenate([label(p) for p in parts]), return_inverse=True)
+    tokens = np.split(flat, np.cumsum(lengths)[:-1])
+    place = np.full(len(flat), -1)
+    degree, root, joined = np.zeros(len(parts), dtype=np.int64), list(range(len(parts))), []
+    meet = np.triu(meet | meet.T, 1)
+    for a in np.flatnonzero(meet.any(axis=1)):
+        place[tokens[a]] = np.arange(lengths[a])
+        need = np.ceil(threshold * (lengths[a] + lengths) / (1 + threshold) - 1e-9)
+        for b in np.flatnonzero(meet[a] & (np.minimum(lengths[a], lengths) >= need)):
+            common = place[tokens[b]]
+            common = common[common >= 0]
+            # common shingles in the same order are an alignment
+            if len(common) < need[b] or not ((common[1:] > common[:-1]).all() or aligned(parts[a], parts[b], int(need[b]))):
+                continue
+            degree[a] += 1
+            degree[b] += 1
+            ends = []
+            for x in (int(a), int(b)):
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                ends.append(x)
+            if ends[0] != ends[1]:
+                root[max(ends)] = min(ends)
+                joined.append((int(a), int(b)))
+        place[tokens[a]] = -1
+    return degree, joined
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -242,17 +334,20 @@ def near_duplicates(
         sketches.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("r"))
         .select("digest", "r.id", "r.n", "r.sketch")
     )
-    pairs = stored(candidate_pairs(reps.select("id", "n", "sketch"), threshold))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    found, crowd = candidate_pairs(reps.select("id", "n", "sketch"), threshold)
+    pairs = stored(found)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowd.select("id")).distinct()
     wanted = reps.select("id", "digest").join(ids, "id", "left_semi")
     texts = stored(known.join(wanted, ["id", "digest"], "left_semi").select("id", "text").dropDuplicates(["id"]))
     links = stored(verified(pairs, texts, size, threshold))
+    crowded = stored(crowded_links(texts.join(crowd, "id"), size, threshold))
+    joined = links.union(crowded.where("other is not null").select("id", "other"))
     degree = (
-        links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id")))
-        .groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+        links.select(F.col("a").alias("id"), F.lit(1).alias("links")).union(links.select(F.col("b").alias("id"), F.lit(1)))
+        .union(crowded.select("id", "links")).groupBy("id").agg(F.sum("links").alias("n_links"))
     )
     classes = (
-        reps.select("digest", "id").join(components(links), "id", "left").join(degree, "id", "left")
+        reps.select("digest", "id").join(components(joined), "id", "left").join(degree, "id", "left")
         .select(
             "digest", F.col("id").alias("copy_of"), F.coalesce("label", "id").alias("class_id"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -172,6 +173,31 @@ def test_large_bucket_of_near_copies(spark):
     assert {got[i] for i in range(60)} == {0} and all(got[i] == i for i in range(60, 80))
 
 
+def test_links_of_a_boilerplate_group_by_brute_force(spark):
+    rng = random.Random(6)
+    shared = [f"w{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(320):  # near copies with words of their own; every fourth shares the boilerplate only
+        t = list(shared)
+        for k in range(rng.randrange(1, 6)):
+            t[rng.randrange(150)] = f"own{i}x{k}"
+        if i % 4 == 0:
+            t = t[:110] + [f"other{i}x{k}" for k in range(60)]
+        if i % 7 == 0:
+            t = t[75:] + t[:75]
+        rows.append((i, " ".join(t)))
+    parts = om.shingles(om.Words.of(pa.array([t for _, t in rows])), om.SHINGLE)
+    want, label = [0] * len(rows), list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if om.similar(parts[a], parts[b], om.THRESHOLD):
+                want[a], want[b] = want[a] + 1, want[b] + 1
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    got = {r.doc_id: (r.n_links, r.class_id) for r in om.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert max(want) > 100 and got == {i: (want[i], label[i]) for i in range(len(rows))}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 45), (60, 60), (None, 3)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
