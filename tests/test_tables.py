@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +7,7 @@ from kwloom.operators import assembly, candidates, clustering, gaps, metrics, qu
 from kwloom.plans.pipeline import KeywordPlan
 from kwloom.sources import html, ledger, sinks, sitemaps
 from kwloom.sources.documents import read_keyword_json, scan_text_dir, scan_url_list
+from workload import queries
 
 
 def test_ngram_counts_and_small_corpus(spark):
@@ -140,6 +142,28 @@ def test_cluster_keywords(spark):
     assert clustering.choose_k(3, 8) == 3 and clustering.choose_k(500, 2) == 6
 
 
+def test_word_vectors_at_full_width(spark, tmp_path, monkeypatch):
+    kw = spark.createDataFrame([(f"{w} villa",) for w in ("red", "blue", "green")] + [("the",)], "keyword string").coalesce(1)
+    monkeypatch.setattr(queries.inputs, "keywords", lambda *_: kw)
+    got = {(r.keyword, r.word): r.weight for r in queries.REGISTRY["g1_vectorize"](spark, str(tmp_path)).collect()}
+    rare, common = np.log(5 / 2) + 1, np.log(5 / 4) + 1
+    norm = float(np.hypot(rare, common))
+    want = {(f"{w} villa", x): float(v) / norm for w in ("red", "blue", "green") for x, v in ((w, rare), ("villa", common))}
+    assert got.pop(("the", None)) is None and got == pytest.approx(want, abs=2e-6)
+
+
+def test_cluster_queries_search_the_whole_range(spark, tmp_path, monkeypatch):
+    rows = [(i, [float(i == 0), 1.0], 0) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    fits, tried = clustering.fit_kmeans, []
+    monkeypatch.setattr(clustering, "fit_kmeans", lambda v, k, seed, r: tried.append((k, r)) or fits(v, 2, seed, 1, 1))
+    queries.REGISTRY["g2_select_k"](spark, str(tmp_path))
+    assert [k for k, _ in tried] == list(range(4, 16))
+    tried.clear()
+    queries.REGISTRY["g3_cluster_keywords"](spark, str(tmp_path))
+    assert [r for _, r in tried] == [3]
+
+
 def test_files_and_ledger(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs" / "One.TXT").write_text("hello\nworld")

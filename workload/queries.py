@@ -8,7 +8,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -643,10 +642,9 @@ def _clusters(spark, sf_dir):
 
 @query("g1_vectorize")
 def _(spark, sf_dir):
-    """Squared length of each keyword's row: 1, or 0 when no word remains."""
-    rows = clustering.vectorize(inputs.keywords(spark, sf_dir).select("keyword"), num_features=64)
-    norm = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x * x)
-    return rows.select("keyword", F.round(norm, 6).alias("squared_norm"))
+    """The weight of each word of each keyword; a keyword without words has one row of nulls."""
+    rows = clustering.word_weights(clustering.vectorize(inputs.keywords(spark, sf_dir).select("keyword")))
+    return rows.select("keyword", "word", F.round("weight", 6).alias("weight"))
 
 
 @query("g2_select_k")
@@ -656,7 +654,7 @@ def _(spark, sf_dir):
     )
     prepared = clustering.vectorize(vectors.select("keyword"), vectors).cache()
     n = prepared.count()
-    best = clustering.choose_k_silhouette(prepared, n, 4, 6)
+    best = clustering.choose_k_silhouette(prepared, n)
     return spark.range(1).select(
         F.lit(n).alias("n"), F.lit(clustering.choose_k(n, 8)).alias("by_size"),
         F.lit(best).alias("by_silhouette"),
@@ -669,7 +667,7 @@ def _(spark, sf_dir):
         F.concat(F.lit("item "), F.col("vec_id").cast("string")).alias("keyword"),
         F.col("embedding").alias("vector"),
     )
-    return clustering.cluster_keywords(vectors.select("keyword"), embeddings=vectors, restarts=1)
+    return clustering.cluster_keywords(vectors.select("keyword"), embeddings=vectors)
 
 
 @query("g3_first_word_clusters")
