@@ -14,11 +14,13 @@ from kwloom.llm import (
     html_text,
     language_id,
     license_scan,
+    line_dedup,
     order_minhash,
     substring_dedup,
     toxicity,
     url_filter,
     vp_tree,
+    whitening,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -84,6 +86,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.fit(pages))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 components of most variance, each at variance one."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that five or more have, as counts and a digest."""
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -95,9 +109,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_text": op10_html_text,
+    "op12_whitening": op12_whitening,
+    "op13_line_dedup": op13_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.duckdb_sql(),
     "op7_decontaminate": decontaminate.duckdb_sql(),
     "op9_substring_dedup": substring_dedup.duckdb_sql(),
+    "op13_line_dedup": line_dedup.duckdb_sql(),
 }
