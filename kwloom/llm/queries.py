@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kwloom.llm import (
     bpe,
+    conversation_trie,
     decontaminate,
     html_text,
     language_id,
@@ -86,6 +87,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.fit(pages))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the 16 components of most variance, each at variance one."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_text": op10_html_text,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_whitening": op12_whitening,
     "op13_line_dedup": op13_line_dedup,
 }
@@ -116,5 +123,6 @@ ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.duckdb_sql(),
     "op7_decontaminate": decontaminate.duckdb_sql(),
     "op9_substring_dedup": substring_dedup.duckdb_sql(),
+    "op11_conversation_trie": conversation_trie.duckdb_sql(),
     "op13_line_dedup": line_dedup.duckdb_sql(),
 }

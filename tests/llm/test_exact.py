@@ -47,12 +47,12 @@ def empty(df):
 def test_matches_sql(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     duck = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         duck.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = duck.execute(ORACLES[name]).df()
     order = sorted(got.columns)
     assert order == sorted(want.columns)
-    got, want = (x[order].sort_values(order).reset_index(drop=True) for x in (got, want))
+    got, want = (x[order].sort_values(order).reset_index(drop=True).convert_dtypes() for x in (got, want))
     assert got.equals(want)
 
 
