@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from kwloom import lexicon as lx
 from kwloom.functions import classify, filters
 from kwloom.functions import text as tx
 from kwloom.functions.stemming import stem_key
-from kwloom.operators.common import cut_lineage, exploded, first_by, scalar, top_per_group
+from kwloom.operators.common import cut_lineage, exploded, first_by, top_per_group
+from kwloom.operators.grams import HashFilter, Tokens, counted, gram_rows, hash_filter, token_hashes
 
 ORDER = "struct<origin:int,major:double,minor:string>"
 
@@ -52,29 +55,40 @@ def ngram_counts(
 ) -> DataFrame:
     """(ngram, count, df): occurrences and sentences of each n-gram with a content edge.
 
-    N-grams that open or close with a stopword go before the shuffle. Sorting a
-    sentence's n-grams marks each first occurrence, so one aggregation gives both counts.
+    Hashes are counted first; only n-grams whose hash is in ``min_df`` sentences become strings
+    and are counted, exactly, by string. N-grams that open or close with a stopword go before.
     """
-
-    def mark(grams: Column) -> Column:
-        return F.transform(
-            grams,
-            lambda g, i: F.struct(
-                g.alias("gram"),
-                F.when((i > 0) & (g == F.get(grams, i - 1)), 0).otherwise(1).alias("first"),
-            ),
-        )
-
-    marked = tx.let(F.sort_array(_grams(F.col("sentence"), *ngram_range, phrases)), mark)
-    grams = exploded(sentences, marked, "g").select("g.gram", "g.first")
-    counted = (
-        grams.filter(~tx.edge_stopword("gram", stopwords))
-        .groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("count"), F.sum("first").alias("df"))
-        .filter(F.col("df") >= min_df)
+    text = cut_lineage(sentences.select(tx.protect_phrases("sentence", phrases, lowered=True).alias("_text")))
+    stop = np.sort(token_hashes(stopwords))
+
+    def content(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, size, h = tokens.grams(*ngram_range)
+        kept = ~tokens.edges_in(first, size, stop)
+        return first[kept], size[kept], h[kept]
+
+    def by_hash(tokens: Tokens, batch: pa.RecordBatch) -> dict:
+        first, _, h = content(tokens)
+        at, _, df = counted(h, tokens.row[first])
+        return {"h": h[at].view(np.int64), "df": df}
+
+    wanted = None
+    if min_df > 1:
+        hashes = gram_rows(text, "_text", by_hash, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+        wanted = hash_filter(cut_lineage(hashes.where(F.col("df") >= min_df).select("h")))
+
+    def by_string(tokens: Tokens, batch: pa.RecordBatch) -> dict:
+        first, size, h = content(tokens)
+        if wanted is not None:
+            hit = wanted.passes(h)
+            first, size, h = first[hit], size[hit], h[hit]
+        at, count, df = counted(h, tokens.row[first])
+        return {"gram": tokens.text(first[at], size[at]), "count": count, "df": df}
+
+    strings = gram_rows(text, "_text", by_string, "gram string, count long, df long").groupBy("gram").agg(
+        F.sum("count").alias("count"), F.sum("df").alias("df")
     )
     # a protected phrase may itself open or close with a stopword once it is restored
-    return counted.select(
+    return strings.filter(F.col("df") >= min_df).select(
         tx.restore_phrases("gram", phrases).alias("ngram"), "count", "df"
     ).filter(~tx.edge_stopword("ngram", stopwords))
 
@@ -97,25 +111,53 @@ def counted_ngrams(
     return grams
 
 
-def _term_runs(tokens: Column, lo: int, hi: int) -> Column:
-    """Array of (term, tf) of one document: run lengths of its sorted n-grams."""
+def _leading(tokens: Tokens, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes of n-grams as numbers in the order of the strings."""
+    begin, length = tokens.start[first], tokens.end[first + size - 1] - tokens.start[first]
+    out = np.zeros(len(first), dtype=np.uint64)
+    for k in range(8):
+        byte = tokens.data[begin + np.minimum(k, length - 1)]
+        out = (out << np.uint64(8)) | np.where(k < length, byte, 0).astype(np.uint64)
+    return out
 
-    def runs(grams: Column) -> Column:
-        starts = F.array_compact(
-            F.transform(grams, lambda g, i: F.when((i == 0) | (g != F.get(grams, i - 1)), i))
-        )
-        return tx.let(
-            starts,
-            lambda at: F.transform(
-                at,
-                lambda s, j: F.struct(
-                    F.get(grams, s).alias("term"),
-                    (F.coalesce(F.get(at, j + 1), F.size(grams)) - s).alias("tf"),
-                ),
-            ),
-        )
 
-    return tx.let(F.sort_array(tx.ngrams(tokens, lo, hi)), runs)
+def _contenders(
+    tokens: Tokens, ngram_range: tuple[int, int], shared: HashFilter, weights: tuple[float, float], n: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first token, size, hash, tf) of the terms that can be among the best ``n`` of their row.
+
+    A term whose hash no other row has weighs tf times the first of ``weights``, which is known
+    here. Any other weighs tf times the second at most, or, if the filter only seems to know it,
+    as much as the first kind. The n-th best of that kind is a bound that most others stay under.
+    """
+    first, size, h = tokens.grams(*ngram_range)
+    row = tokens.row[first]
+    order = np.lexsort((h, row))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+    start = np.flatnonzero(new)
+    at, tf = order[start], np.diff(np.append(start, len(order)))
+    first, size, h, row = first[at], size[at], h[at], row[at]
+    alone = ~shared.passes(h)
+    own = np.flatnonzero(alone)
+    lead = _leading(tokens, first[own], size[own])
+    ranked = own[np.lexsort((lead, -tf[own], row[own]))]
+    lead = _leading(tokens, first[ranked], size[ranked])
+    begin = np.searchsorted(row[ranked], row[ranked], side="left")
+    place = np.arange(len(ranked)) - begin
+    last = np.flatnonzero(place == n - 1)  # of each row with so many
+    rows = int(row.max(initial=-1)) + 1
+    least, before = np.zeros(rows), np.full(rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+    least[row[ranked[last]]], before[row[ranked[last]]] = tf[ranked[last]], lead[last]
+    keep = np.zeros(len(h), dtype=bool)
+    level = (tf[ranked] == least[row[ranked]]) & (lead <= before[row[ranked]])  # strings decide
+    keep[ranked[(place < n) | level]] = True
+    others = np.flatnonzero(~alone)
+    bound = least[row[others]]
+    high = tf[others] * weights[1] >= bound * weights[0] * (1 - 1e-9)
+    seeming = (tf[others] > bound) | ((tf[others] == bound) & (_leading(tokens, first[others], size[others]) <= before[row[others]]))
+    keep[others[high | seeming]] = True
+    return row[keep], first[keep], size[keep], h[keep], tf[keep]
 
 
 def tfidf_top_terms(
@@ -129,20 +171,34 @@ def tfidf_top_terms(
 ) -> DataFrame:
     """(id, term, weight, rank): best ``2k`` terms of each document, then the edge filter.
 
-    The per-document norm does not change a document's own order and is left out.
+    The per-document norm does not change a document's own order and is left out. Documents are
+    read once, for their cleaned text. Its n-grams are counted by hash; a document's terms are
+    then cut to those that can still be among its best, and only these look up their frequency.
+    N-grams are told apart by 64 bits when documents are counted.
     """
     kept = docs.filter(tx.has_content(text_col))
-    body = kept.select(id_col, F.array_join(tx.content_sentences(text_col), " ").alias("body"))
-    runs = _term_runs(
-        tx.gram_tokens(tx.protect_phrases(F.col("body"), phrases, lowered=True)), *ngram_range
-    )
-    tf = exploded(body, runs, "r", id_col).select(
-        id_col, F.col("r.term").alias("term"), F.col("r.tf").alias("tf")
-    )
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = scalar(kept, F.count(F.lit(1)))
-    idf = F.log((F.lit(1) + total) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
-    weighted = tf.join(df, "term").withColumn("weight", F.col("tf") * idf)
+    joined = F.array_join(tx.content_sentences(text_col), " ")
+    body = cut_lineage(kept.select(id_col, tx.protect_phrases(joined, phrases, lowered=True).alias("_text")))
+    total = body.count()
+
+    def by_hash(tokens: Tokens, batch: pa.RecordBatch) -> dict:
+        first, _, h = tokens.grams(*ngram_range)
+        at, _, df = counted(h, tokens.row[first])
+        return {"h": h[at].view(np.int64), "df": df}
+
+    hashes = gram_rows(body, "_text", by_hash, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+    shared = cut_lineage(hashes.where("df > 1"))
+    known = hash_filter(shared)
+    weights = tuple(float(np.log((1 + total) / (1 + df)) + 1) for df in (1, 2))
+
+    def best_of(tokens: Tokens, batch: pa.RecordBatch) -> dict:
+        row, first, size, h, tf = _contenders(tokens, ngram_range, known, weights, 2 * k)
+        return {"id": batch.column(id_col).take(pa.array(row)), "term": tokens.text(first, size), "h": h.view(np.int64), "tf": tf}
+
+    kind = body.schema[id_col].dataType.simpleString()
+    terms = gram_rows(body, "_text", best_of, f"id {kind}, term string, h long, tf long").withColumnRenamed("id", id_col)
+    idf = F.log((F.lit(1) + F.lit(total)) / (F.lit(1) + F.coalesce("df", F.lit(1)))) + F.lit(1.0)
+    weighted = terms.join(shared, "h", "left").withColumn("weight", F.col("tf") * idf)
     best = top_per_group(weighted, [id_col], [F.desc("weight"), F.asc("term")], 2 * k)
     restored = best.withColumn("term", tx.restore_phrases("term", phrases))
     return restored.filter(~tx.edge_stopword("term", stopwords)).select(
@@ -163,6 +219,24 @@ def candidate_filters(keyword: Column, **options) -> Column:
     return ~dropped
 
 
+def tag_sequences(tags: DataFrame) -> DataFrame:
+    """(keyword, tags): the (token, pos, tag) rows of each keyword in the order of ``position``."""
+    rows = F.sort_array(F.collect_list(F.struct("position", "token", "pos", "tag")))  # words of one keyword
+    return tags.groupBy("keyword").agg(
+        F.transform(rows, lambda r: F.struct(r["token"].alias("token"), r["pos"].alias("pos"), r["tag"].alias("tag"))).alias("tags")
+    )
+
+
+def grammar_checked(keywords: DataFrame, tags: DataFrame, **options) -> DataFrame:
+    """Add ``grammar_invalid`` to keywords by a tag table (keyword, position, token, pos, tag).
+
+    Keywords that the table does not have are judged by the rules that need no tags.
+    """
+    sequences = tag_sequences(tags).withColumnRenamed("tags", "_tags")
+    checked = filters.grammar_invalid("keyword", tags=F.col("_tags"), **options)
+    return keywords.join(sequences, "keyword", "left").withColumn("grammar_invalid", checked).drop("_tags")
+
+
 def extract_candidates(
     docs: DataFrame,
     min_df: int = 2,
@@ -237,14 +311,31 @@ def keyword_freq(
     text_col: str = "text",
     hi: int = 3,
 ) -> DataFrame:
-    """Add ``freq``: occurrences of each keyword as a 1 to ``hi`` token n-gram of the corpus."""
-    tokens = tx.gram_tokens(tx.clean_text(text_col))
-    grams = exploded(docs, tx.ngrams(tokens, 1, hi), "_gram")
-    counts = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("freq"))
-    # keywords are written first: their true size decides the join, filters behind them are not
-    # inferred for every n-gram, and the counts keep their partitioning
+    """Add ``freq``: occurrences of each keyword as a 1 to ``hi`` token n-gram of the corpus.
+
+    A filter of the keywords' hashes stands in front of the shuffle: n-grams that are no keyword
+    never become strings. Keywords and counts then meet by string.
+    """
+    table = cut_lineage(keywords)
+
+    def whole(tokens: Tokens, batch: pa.RecordBatch) -> dict:
+        length = np.bincount(tokens.row, minlength=batch.num_rows)
+        first, size, h = tokens.grams(1, hi)
+        return {"h": np.unique(h[size == length[tokens.row[first]]]).view(np.int64)}
+
+    wanted = hash_filter(cut_lineage(gram_rows(table.select("keyword"), "keyword", whole, "h long")))
+
+    def found(tokens: Tokens, batch: pa.RecordBatch) -> dict:
+        first, size, h = tokens.grams(1, hi)
+        hit = wanted.passes(h)
+        first, size, h = first[hit], size[hit], h[hit]
+        at, count, _ = counted(h, tokens.row[first])
+        return {"_gram": tokens.text(first[at], size[at]), "freq": count}
+
+    text = docs.select(tx.clean_text(text_col).alias("_text"))
+    counts = gram_rows(text, "_text", found, "_gram string, freq long").groupBy("_gram").agg(F.sum("freq").alias("freq"))
     return (
-        cut_lineage(keywords).join(counts, F.col("keyword") == F.col("_gram"), "left")
+        table.join(counts, F.col("keyword") == F.col("_gram"), "left")
         .withColumn("freq", F.coalesce("freq", F.lit(0)))
         .drop("_gram")
     )

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kwloom import lexicon as lx
 from kwloom.functions import scoring
 from kwloom.functions import text as tx
-from kwloom.operators.common import scalar
+from kwloom.operators.common import cut_lineage, scalar
+from kwloom.operators.grams import Tokens, chunks, counted, gram_rows, hash_filter
+
+#: Documents of a group, and terms of it that a task holds, about.
+GROUP, HASHES = 2000, 2_000_000
 
 
 def universal_terms(
@@ -20,17 +26,44 @@ def universal_terms(
     min_docs: int = 3,
     defaults: Iterable[str] = lx.UNIVERSAL_TERMS,
 ) -> DataFrame:
-    """(term): terms of at least ``threshold`` of the cleaned documents, plus defaults."""
-    cleaned = docs.filter(F.coalesce(F.col(text_col), F.lit("")) != "").select(
-        F.array_distinct(tx.words(tx.clean_text(text_col))).alias("terms")
-    )
+    """(term): terms of at least ``threshold`` of the cleaned documents, plus defaults.
+
+    A term of such a share of all documents has it in some group of documents. So every task
+    names the terms that have it in one of its groups, and only these are counted, by string:
+    no shuffle grows with the vocabulary.
+    """
+    cleaned = docs.filter(F.coalesce(F.col(text_col), F.lit("")) != "").select(tx.clean_text(text_col).alias("_text"))
     total = scalar(cleaned, F.count(F.lit(1)))
-    counts = cleaned.select(F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    found = counts.filter((F.col("df") / total >= threshold) & (total >= min_docs)).select("term")
+
+    def frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
+
+        def named() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= threshold * rows * (1 - 1e-9)].view(np.int64))], names=["h"])
+
+        for batch in chunks(batches, "_text"):
+            tokens = Tokens.of(batch.column("_text"), 1)
+            pairs = np.unique(np.stack([tokens.row.astype(np.uint64), tokens.hashes]), axis=1) if len(tokens.row) else tokens.hashes[None]
+            held.append(pairs[-1])
+            rows, size = rows + batch.num_rows, size + len(held[-1])
+            if rows >= GROUP or size >= HASHES:
+                yield named()
+                held, rows, size = [], 0, 0
+        if rows:
+            yield named()
+
+    wanted = hash_filter(cut_lineage(cleaned.mapInArrow(frequent, "h long").distinct()))
+
+    def found(tokens: Tokens, batch: pa.RecordBatch) -> dict:
+        hit = np.flatnonzero(wanted.passes(tokens.hashes))
+        at, _, df = counted(tokens.hashes[hit], tokens.row[hit])
+        return {"term": tokens.text(hit[at], np.ones(len(at), dtype=np.int64)), "df": df}
+
+    counts = gram_rows(cleaned, "_text", found, "term string, df long", 1).groupBy("term").agg(F.sum("df").alias("df"))
+    found_terms = counts.filter((F.col("df") / total >= threshold) & (total >= min_docs)).select("term")
     listed = docs.sparkSession.range(1).select(F.explode(tx.literal_array(defaults)).alias("term"))
-    return found.unionByName(listed).distinct()
+    return found_terms.unionByName(listed).distinct()
 
 
 def universal_token_counts(keywords: DataFrame, terms: DataFrame) -> DataFrame:
