@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kwloom import lexicon as lx
 from kwloom.functions import text as tx
+from kwloom.functions.literals import first_literals, needed
 
 
 def trust_patterns(
@@ -28,13 +29,22 @@ def trust_signals(
     patterns: Mapping[str, tuple] = lx.TRUST_PATTERNS,
     locale_patterns: Mapping[str, Mapping[str, tuple]] = lx.TRUST_LOCALES,
 ) -> Column:
-    """Struct of category scores, the weighted score, signals found and missing, advice."""
+    """Struct of category scores, the weighted score, signals found and missing, advice.
+
+    One pass finds which patterns have a literal that they need in the text; only those run.
+    """
     merged = trust_patterns(locale, patterns, locale_patterns)
     rules = [(c, p, d) for c, listed in merged.items() for p, d in listed]
     described = list(dict.fromkeys(d for _, _, d in rules))
 
-    def judged(text: Column) -> Column:
-        return F.array(*[text.rlike(tx.java_pattern(p)) for _, p, _ in rules])
+    needs = [needed(p) or [""] for _, p, _ in rules]
+
+    def judged(bound: Column) -> Column:
+        text, may = bound["text"], bound["may"]
+        return F.array(
+            *[F.when(F.get(may, F.lit(i)).isNotNull(), text.rlike(tx.java_pattern(p))).otherwise(F.when(text.isNotNull(), False))
+              for i, (_, p, _) in enumerate(rules)]
+        )
 
     def signals(hits: Column) -> Column:
         def found(category: str | None = None) -> Column:
@@ -62,7 +72,9 @@ def trust_signals(
         )
 
     # every pattern meets the text once: the hits are bound before they are used
-    return tx.let(tx.let(F.lower(tx.as_col(content)), judged), signals)
+    text = F.lower(tx.as_col(content))
+    bound = F.struct(text.alias("text"), first_literals(text, needs).alias("may"))
+    return tx.let(tx.let(bound, judged), signals)
 
 
 def snippet(query: Column | str, query_type: Column | str, points: Column | str) -> Column:

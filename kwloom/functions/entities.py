@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kwloom import lexicon as lx
 from kwloom.functions import text as tx
+from kwloom.functions.literals import first_literals
 
 KINDS = (
     "alias", "emirate", "district", "landmark", "free_zone",
@@ -20,23 +21,6 @@ REGION_ORDER = (
 )
 
 
-def _entries(gazetteer: tuple, kind: str) -> Column | None:
-    rows = [g for g in gazetteer if g[0] == kind]
-    if not rows:
-        return None
-    return F.array(
-        *[
-            F.struct(
-                F.lit(key.lower()).alias("key"),
-                F.lit(display).alias("display"),
-                F.lit(region).cast("string").alias("region"),
-                F.lit(type_name).cast("string").alias("type"),
-            )
-            for _, key, display, region, type_name in rows
-        ]
-    )
-
-
 def extract_entities(
     keyword: Column | str,
     geo: str = "ae",
@@ -45,59 +29,57 @@ def extract_entities(
 ) -> Column:
     """First gazetteer hit of each kind, the region and two flags, as a struct.
 
-    Entries are tried in their listed order. ``match="token"`` wants whole words.
+    Entries are tried in their listed order. ``match="token"`` wants whole words. One automaton
+    has all entries, so a longer gazetteer costs no more a keyword.
     """
     kw = F.lower(tx.as_col(keyword))
     if match == "token":
         kw = F.concat(F.lit(" "), F.regexp_replace(kw, rf"{tx.SPACE}+", " "), F.lit(" "))
-
-    def first_hit(entries: Column) -> Column:
-        def search(text: Column) -> Column:
-            def is_hit(entry: Column) -> Column:
-                key = entry["key"]
-                fenced = F.concat(F.lit(" "), key, F.lit(" ")) if match == "token" else key
-                return F.contains(text, fenced)
-
-            return F.get(F.filter(entries, is_hit), F.lit(0))
-
-        return tx.let(kw, search)
-
-    hits: dict[str, Column] = {}
-    for kind in KINDS if geo.lower() == "ae" else ():
-        entries = _entries(gazetteer, kind)
-        if entries is not None:
-            hits[kind] = first_hit(entries)
-
-    def part(kind: str, field: str) -> Column:
-        return hits[kind][field] if kind in hits else F.lit(None).cast("string")
-
-    def any_of(kinds: tuple) -> Column:
-        found = F.lit(False)
-        for kind in kinds:
-            if kind in hits:
-                found = found | hits[kind].isNotNull()
-        return found
-
-    return F.struct(
-        F.coalesce(*[part(k, "region") for k in REGION_ORDER]).alias("emirate"),
-        part("district", "display").alias("district"),
-        part("landmark", "display").alias("landmark"),
-        part("free_zone", "display").alias("free_zone"),
-        part("government", "display").alias("government_entity"),
-        part("certification", "display").alias("certification"),
-        part("legal", "display").alias("legal_term"),
-        part("construction", "display").alias("construction_term"),
-        # a free zone's type replaces the district's even when it is unknown
-        (
-            F.when(hits["free_zone"].isNotNull(), part("free_zone", "type")).otherwise(
-                part("district", "type")
-            )
-            if "free_zone" in hits
-            else part("district", "type")
-        ).alias("location_type"),
-        any_of(LOCAL_KINDS).alias("is_local"),
-        any_of(CONTRACTING_KINDS).alias("is_contracting"),
-    )
+    listed = {kind: [g for g in gazetteer if g[0] == kind] for kind in (KINDS if geo.lower() == "ae" else ())}
+    listed = {kind: entries for kind, entries in listed.items() if entries}
+    fence = " {} ".format if match == "token" else str
+    kinds = list(listed)
+
+    def described(at: Column) -> Column:
+        def hit(kind: str) -> Column:
+            return F.get(at, F.lit(kinds.index(kind)))
+
+        def part(kind: str, field: int) -> Column:
+            if kind not in listed:
+                return F.lit(None).cast("string")
+            values = ["" if e[field] is None else e[field] for e in listed[kind]]
+            return F.nullif(F.get(tx.literal_array(values), hit(kind)), F.lit(""))
+
+        def any_of(some: tuple) -> Column:
+            found = F.lit(False)
+            for kind in some:
+                if kind in listed:
+                    found = found | hit(kind).isNotNull()
+            return found
+
+        display, region, type_name = 2, 3, 4
+        return F.struct(
+            F.coalesce(*[part(k, region) for k in REGION_ORDER]).alias("emirate"),
+            part("district", display).alias("district"),
+            part("landmark", display).alias("landmark"),
+            part("free_zone", display).alias("free_zone"),
+            part("government", display).alias("government_entity"),
+            part("certification", display).alias("certification"),
+            part("legal", display).alias("legal_term"),
+            part("construction", display).alias("construction_term"),
+            # a free zone's type replaces the district's even when it is unknown
+            (
+                F.when(hit("free_zone").isNotNull(), part("free_zone", type_name)).otherwise(part("district", type_name))
+                if "free_zone" in listed
+                else part("district", type_name)
+            ).alias("location_type"),
+            any_of(LOCAL_KINDS).alias("is_local"),
+            any_of(CONTRACTING_KINDS).alias("is_contracting"),
+        )
+
+    if not kinds:
+        return described(F.array().cast("array<int>"))
+    return tx.let(first_literals(kw, [[fence(e[1].lower()) for e in listed[k]] for k in kinds]), described)
 
 
 def location_key(entities: Column) -> Column:

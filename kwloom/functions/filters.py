@@ -76,11 +76,48 @@ def negative_sentiment(
 
 
 def grammar_invalid(
-    keyword: Column | str, invalid_starts: Iterable[str] = lx.INVALID_STARTS
+    keyword: Column | str,
+    invalid_starts: Iterable[str] = lx.INVALID_STARTS,
+    tags: Column | None = None,
+    valid_starts: Iterable[str] = lx.VALID_STARTS,
+    start_tags: Iterable[str] = lx.INVALID_START_TAGS,
+    run_starts: Iterable[str] = lx.NOUN_RUN_STARTS,
+    most_nouns: int = lx.MOST_NOUNS,
 ) -> Column:
-    """Rule part: a phrase must not open with a joining word."""
+    """A phrase must not open with a joining word, nor by its tags with one, nor be a pile of nouns.
+
+    ``tags`` is an array of (token, pos, tag) in the order of the phrase; without it (null) only
+    the first rule holds. Words not tagged as anything else than a noun count as nouns when
+    they are plain letters and long enough.
+    """
     parts = tx.words(F.lower(tx.as_col(keyword)))
-    return (F.size(parts) >= 2) & F.get(parts, F.lit(0)).isin(*invalid_starts)
+    first = F.get(parts, F.lit(0))
+    opens = first.isin(*invalid_starts)
+    if tags is None:
+        return (F.size(parts) >= 2) & opens
+
+    def by_tags(t: Column) -> Column:
+        head = F.get(t, F.lit(0))
+        joins = head["pos"].isin("CCONJ", "SCONJ") | (head["tag"].isin(*start_tags) & ~head["token"].isin(*valid_starts))
+
+        def noun(w: Column) -> Column:
+            plain = w["token"].rlike(r"^\p{Ll}{4,}$") & ~w["pos"].isin(*lx.OTHER_THAN_NOUNS)
+            return w["pos"].isin("NOUN", "PROPN") | w["tag"].isin(*lx.NOUN_TAGS) | plain
+
+        nouns = F.size(F.filter(t, noun))
+        content = F.size(F.filter(t, lambda w: ~w["pos"].isin("SPACE", "PUNCT")))
+        built = F.exists(
+            t,
+            lambda w: ((w["pos"] == "VERB") & ~w["token"].isin("be", "is", "are"))
+            | (w["pos"] == "ADJ")
+            | ((w["pos"] == "ADP") & w["token"].isin(*lx.LINKING_PREPOSITIONS)),
+        )
+        piled = (nouns > most_nouns) & ~first.isin(*run_starts)
+        nearly = (content > 3) & (nouns >= content - 1) & ~first.isin(*run_starts, *lx.PATTERN_STARTS)
+        return joins | ((piled | nearly) & ~built)
+
+    tagged = F.when(F.size(tags) > 0, tx.let(tags, by_tags)).otherwise(F.lit(False))
+    return (F.size(parts) >= 2) & (opens | (~first.isin(*valid_starts) & F.coalesce(tagged, F.lit(False))))
 
 
 def entity_conflict(

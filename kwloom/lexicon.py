@@ -98,6 +98,11 @@ INVALID_STARTS = ("vs", "versus", "or", "and", "but", "nor", "yet")
 VALID_STARTS = ("how", "what", "where", "when", "why", "which", "who", "best", "top", "for")
 INVALID_START_TAGS = ("CC", "IN", "DT", "TO", "EX", "WDT", "WP", "WP$", "WRB")
 NOUN_RUN_STARTS = ("vs", "versus", "best", "top", "compare")
+PATTERN_STARTS = ("how", "what", "where", "for")
+NOUN_TAGS = ("NN", "NNS", "NNP", "NNPS")
+OTHER_THAN_NOUNS = ("VERB", "ADJ", "ADV", "ADP", "DET", "PRON")
+LINKING_PREPOSITIONS = ("in", "for", "to", "of", "with")
+MOST_NOUNS = 3
 
 CONFLICT_CITIES = (
     "dubai", "abu dhabi", "sharjah", "ajman", "fujairah",

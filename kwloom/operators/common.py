@@ -42,6 +42,20 @@ def scalar(df: DataFrame, value: Column) -> Column:
     return df.agg(value.alias("value")).scalar()
 
 
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """``df`` with the position of each row in the order of some columns, from 0.
+
+    Rows are sorted in ranges and numbered inside them; a row a range says how many come before.
+    """
+    at, first = "_at", "_before"
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("_range", before.alias(first)))  # a row for each range
+    return placed.withColumn("_range", part).join(offsets, "_range").select(*df.columns, (F.col(first) + place).alias(name))
+
+
 def top_per_group(df: DataFrame, keys: list, order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows of each group; a large group is trimmed before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)

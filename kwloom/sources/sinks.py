@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,41 @@ def write_keywords(df: DataFrame, path: str, csv_path: str | None = None, mode:
         _csv(df, csv_path, mode)
 
 
+def write_json_array(df: DataFrame, path: str, buffer: int = 1 << 16) -> None:
+    """One file that holds all rows as one JSON array, in the order of the partitions.
+
+    Tasks write their rows with commas between them; the file system then joins the parts, in
+    a buffer of fixed size, so that no row is held anywhere. An empty table is ``[]``.
+    """
+    spark = df.sparkSession
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    df.select(F.concat(F.when(first, "").otherwise(","), row).alias("value")).write.text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop
+    folder = hadoop.fs.Path(parts)
+    files = folder.getFileSystem(conf)
+    found = sorted((s.getPath().getName(), s.getLen()) for s in files.listStatus(folder))
+    out = files.create(hadoop.fs.Path(path), True)
+    try:
+        out.write(b"[\n")
+        begun = False
+        for name in (n for n, size in found if n.startswith("part-") and size):
+            if begun:
+                out.write(b",")
+            part = files.open(hadoop.fs.Path(folder, name))
+            try:
+                hadoop.io.IOUtils.copyBytes(part, out, buffer, False)
+            finally:
+                part.close()
+            begun = True
+        out.write(b"]\n")
+    finally:
+        out.close()
+    files.delete(folder, True)
+
+
 def _csv(df: DataFrame, path: str, mode: str) -> None:
     flat_columns(df).write.mode(mode).option("header", "true").option("escape", '"').csv(path)
 

@@ -1,12 +1,16 @@
+import json
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kwloom.functions import bilingual
-from kwloom.operators import assembly, candidates, clustering, gaps, metrics, quality, reports, responses
+from kwloom.operators import assembly, candidates, clustering, gaps, information, kmeans, metrics, quality, reports, responses
 from kwloom.plans.pipeline import KeywordPlan
 from kwloom.sources import html, ledger, sinks, sitemaps
-from kwloom.sources.documents import read_keyword_json, scan_text_dir, scan_url_list
+from kwloom.sources.documents import read_keyword_json, scan_text_dir, scan_url_list, seed_document
 from workload import queries
 
 
@@ -137,7 +141,7 @@ def test_visible_text(spark):
 def test_cluster_keywords(spark):
     words = [f"villa design {i}" for i in range(10)] + [f"office lease {i}" for i in range(10)]
     kw = spark.createDataFrame([(w,) for w in words], "keyword string")
-    out = clustering.cluster_keywords(kw, restarts=1, num_features=256)
+    out = clustering.cluster_keywords(kw, restarts=2)
     assert out.count() == 20 and out.filter("cluster is null").isEmpty()
     assert clustering.choose_k(3, 8) == 3 and clustering.choose_k(500, 2) == 6
 
@@ -155,13 +159,11 @@ def test_word_vectors_at_full_width(spark, tmp_path, monkeypatch):
 def test_cluster_queries_search_the_whole_range(spark, tmp_path, monkeypatch):
     rows = [(i, [float(i == 0), 1.0], 0) for i in range(20)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
-    fits, tried = clustering.fit_kmeans, []
-    monkeypatch.setattr(clustering, "fit_kmeans", lambda v, k, seed, r: tried.append((k, r)) or fits(v, 2, seed, 1, 1))
+    fits, tried = kmeans.fit, []
+    monkeypatch.setattr(kmeans, "fit", lambda v, ks, restarts, seed: tried.append((list(ks), restarts)) or fits(v, ks, 1, seed, 1))
     queries.REGISTRY["g2_select_k"](spark, str(tmp_path))
-    assert [k for k, _ in tried] == list(range(4, 16))
-    tried.clear()
     queries.REGISTRY["g3_cluster_keywords"](spark, str(tmp_path))
-    assert [r for _, r in tried] == [3]
+    assert tried == [(list(range(4, 16)), 10), ([2], 10)]
 
 
 def test_files_and_ledger(spark, tmp_path):
@@ -196,6 +198,96 @@ def test_pipeline_smoke(spark):
     assert len(pairs) == len(set(pairs))
 
 
+def test_interrupted_run_resumes(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(
+        [(f"d{i}", f"d{i}", t) for i, t in enumerate((
+            "Espresso machines brew rich espresso coffee at home.",
+            "How to clean espresso machines and grind coffee beans.",
+            "Best espresso coffee beans for home brewing guide."))],
+        "url string, title string, text string",
+    )
+    plan = KeywordPlan(seed="espresso machines", filter_unvalidated=False, unvalidated_penalty=0.0)
+    want = sorted(map(str, plan.run(docs)["items"].collect()))
+    run = ledger.ResumableRun(spark, str(tmp_path), "r1", inputs="v1")
+    score = metrics.score_candidates
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("the driver is lost")
+
+    with monkeypatch.context() as lost:
+        lost.setattr(metrics, "score_candidates", broken)
+        with pytest.raises(RuntimeError):
+            plan.run(docs, resume=run)
+    done = ledger.completed_stages(ledger.stage_latest(ledger.read_stages(spark, str(tmp_path)))).first()
+    assert done["stages"] == ["found", "terms", "candidates", "clustered", "flagged"]
+    with monkeypatch.context() as again:  # what is done is not done again
+        for name in ("extract_candidates", "keyword_freq"):
+            again.setattr(candidates, name, broken)
+        again.setattr(clustering, "cluster_keywords", broken)
+        assert sorted(map(str, plan.run(docs, resume=run)["items"].collect())) == want
+        again.setattr(metrics, "score_candidates", broken)
+        assert sorted(map(str, plan.run(docs, resume=run)["items"].collect())) == want
+        with pytest.raises(RuntimeError):  # other inputs, other signatures
+            plan.run(docs, resume=ledger.ResumableRun(spark, str(tmp_path), "r1", inputs="v2"))
+    assert metrics.score_candidates is score
+    wanted = [("found", "x"), ("new", "y")]
+    assert {r.stage_name for r in ledger.pending_stages(ledger.read_stages(spark, str(tmp_path)), "r1", wanted).collect()} == {"found", "new"}
+
+
+def test_json_array_of_many_partitions(spark, tmp_path):
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit('q"\n'), F.col("id"))).alias("t")).repartition(7).orderBy("id")
+    sinks.write_json_array(rows.where("id % 100 < 50"), str(tmp_path / "out.json"))
+    told = json.loads((tmp_path / "out.json").read_text())
+    assert told == [{"id": i, "t": f'q"\n{i}' if i % 3 else None} for i in range(1000) if i % 100 < 50]
+    sinks.write_json_array(rows.limit(0), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["none.json", "out.json"]
+    assert read_keyword_json(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_grammar_by_tags(spark):
+    phrases = {
+        "villa wall roof garden": "NOUN NOUN NOUN NOUN", "villa wall big garden": "NOUN NOUN ADJ NOUN", "for wall roof garden pool": "ADP NOUN NOUN NOUN NOUN",
+        "into villa": "SCONJ NOUN", "the villa": "DET NOUN", "top villa wall roof garden": "X NOUN NOUN NOUN NOUN", "und villa": "X NOUN", "villa": "CCONJ",
+        "villa wall roof xx": "NOUN NOUN NOUN X", "villa wall": "NOUN NOUN",
+    }
+    tags = [(k, i, w, p, "DT" if w == "the" else "IN" if w == "into" else "NN" if p == "NOUN" else "FW")
+            for k, line in phrases.items() for i, (w, p) in enumerate(zip(k.split(), line.split(), strict=True))]
+    table = spark.createDataFrame(tags, "keyword string, position int, token string, pos string, tag string").repartition(3)
+    kw = spark.createDataFrame([(k,) for k in [*phrases, "no tags here", "and so on"]], "keyword string")
+    got = {r.keyword for r in candidates.grammar_checked(kw, table, invalid_starts=("und", "and")).where("grammar_invalid").collect()}
+    assert got == {"villa wall roof garden", "into villa", "the villa", "und villa", "and so on", "villa wall roof xx"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_phrases_run_over_parts(spark, seed):
+    rng = random.Random(seed)
+    rows = [(c, s, p, " ".join(rng.choices(["red", "villa", "wall", "x", "the", "pool"], k=rng.choice([0, 1, 1, 2, 3, 5]))))
+            for c in "ab" for s in ("mine", "theirs") for p in range(9)]
+    texts = spark.createDataFrame(rows, "comparison_id string, side string, part int, text string").repartition(4)
+    got = {(r.comparison_id, r.term): (r.mine, r.theirs) for r in information.term_weights(texts, None, ("the",)).collect()}
+    want = {}
+    for c in "ab":
+        counts = []
+        for side in ("mine", "theirs"):
+            words = [w for r in rows if r[:2] == (c, side) for w in r[3].split() if len(w) > 1 and w != "the"]
+            counts.append(Counter(" ".join(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)))
+        for term in {*counts[0], *counts[1]}:
+            weigh = 1 if term in counts[0] and term in counts[1] else np.log(1.5) + 1
+            want[c, term] = tuple(float(k[term] * weigh) for k in counts)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    told = information.information_gain(texts, None, None, ("the",), None).collect()
+    assert all(sorted(r.common_concepts) == sorted(t for (c, t), (m, y) in want.items() if c == r.comparison_id and m and y) for r in told)
+
+
+def test_batches_and_numbers(spark):
+    kw = spark.createDataFrame([(f"k{i:04d}",) for i in range(505)], "keyword string").repartition(6)
+    got = {r.keyword: r.batch_id for r in responses.keyword_batches(kw, 50).collect()}
+    assert got == {f"k{i:04d}": i // 50 for i in range(505)}
+    none = seed_document(spark.createDataFrame([], "url string, title string, text string"), "a b", "c, ,d", "en", "ae").collect()
+    assert [tuple(r) for r in none] == [("seed", "a b", "a b\nc\nd\nen ae")]
+
+
 def test_pages_with_many_links_cost_in_proportion(spark):
     body = "".join(f'<p>word {i} <a href="/{i}">link number {i}</a></p>' for i in range(10_000))
     page = spark.createDataFrame([(1, "u", f"<div>{body}</div>")], "page_id long, url string, html string")

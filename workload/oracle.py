@@ -423,8 +423,7 @@ UNION ALL SELECT page_id, url FROM pages p WHERE NOT EXISTS (
 )
 add(
     "a6_seed_document",
-    "SELECT 'seed' AS url, 'villa design' AS title, "
-    "'villa design' || chr(10) || 'owners' || chr(10) || 'builders' || chr(10) || 'en ae' AS text",
+    "SELECT doc_id::VARCHAR AS url, lang AS title, text FROM documents",
 )
 add(
     "a7_serp_results",
@@ -693,6 +692,27 @@ FROM (SELECT *, regexp_replace(sentence, '\\p{{L}}+', '7', 'g') AS m FROM sent)"
 )
 kw("d4_negative_sentiment", f"{any_token(TOK, wl.NEGATIVE)} AS dropped")
 kw("d5_grammar_invalid", f"{grammar_sql('keyword', wl.INVALID_STARTS)} AS dropped")
+define(
+    "kwtags",
+    f"""SELECT keyword, ws, list_transform(list_filter(ws, lambda w, i: i <= 3), lambda w: {{'token': w,
+    'pos': CASE WHEN length(w) > 8 THEN 'NOUN' WHEN length(w) > 6 THEN 'ADJ' WHEN length(w) = 4 THEN 'X'
+      WHEN length(w) < 3 THEN 'SCONJ' ELSE 'PROPN' END,
+    'tag': CASE WHEN length(w) = 5 THEN 'DT' WHEN length(w) = 6 THEN 'NNS' ELSE 'FW' END}}) AS t
+  FROM (SELECT keyword, {words('lower(keyword)')} AS ws FROM kw)""",
+    "kw",
+)
+_NOUNS = f"""len(list_filter(t, lambda w: w.pos IN ('NOUN', 'PROPN') OR w.tag IN {tup(lx.NOUN_TAGS)}
+  OR (regexp_full_match(w.token, '\\p{{Ll}}{{4,}}') AND w.pos NOT IN {tup(lx.OTHER_THAN_NOUNS)})))"""
+add(
+    "d5_grammar_tagged",
+    f"""SELECT keyword, len(ws) >= 2 AND (list_contains({arr(wl.INVALID_STARTS)}, ws[1]) OR (NOT list_contains({arr(lx.VALID_STARTS)}, ws[1])
+  AND (t[1].pos IN ('CCONJ', 'SCONJ') OR (t[1].tag IN {tup(lx.INVALID_START_TAGS)} AND NOT list_contains({arr(lx.VALID_STARTS)}, t[1].token))
+    OR (len(list_filter(t, lambda w: w.pos = 'ADJ')) = 0 AND (
+      (n > 2 AND NOT list_contains({arr(lx.NOUN_RUN_STARTS)}, ws[1]))
+      OR (len(t) > 3 AND n >= len(t) - 1 AND NOT list_contains({arr([*lx.NOUN_RUN_STARTS, *lx.PATTERN_STARTS])}, ws[1]))))))) AS dropped
+FROM (SELECT *, {_NOUNS} AS n FROM kwtags)""",
+    "kwtags",
+)
 kw("d6_entity_conflict", f"{conflict_sql('keyword', wl.CONFLICT)} AS dropped")
 MOVED = s(wl.MOVED_PHRASE)
 HITS = f"(len(string_split(keyword, {MOVED})) - 1)"
@@ -844,6 +864,26 @@ add("f12_opportunity", "SELECT keyword, round(opportunity_score, 9) AS opportuni
 
 # --- G ---------------------------------------------------------------------------------------
 
+define(
+    "kwords",
+    f"""SELECT keyword, list_filter(string_split({clean('keyword')}, ' '),
+    lambda t: length(t) >= 2 AND NOT list_contains({arr(lx.ENGLISH_STOPWORDS)}, t)) AS ws FROM kw""",
+    "kw",
+)
+define("kwtf", "SELECT keyword, word, count(*) AS tf FROM (SELECT keyword, unnest(ws) AS word FROM kwords) GROUP BY ALL", "kwords")
+define(
+    "kwraw",
+    """SELECT keyword, word, tf * (ln((1 + (SELECT count(*) FROM kwords)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS v
+  FROM kwtf JOIN (SELECT word, count(*) AS df FROM kwtf GROUP BY word) USING (word)""",
+    "kwords", "kwtf",
+)
+add(
+    "g1_vectorize",
+    """SELECT keyword, word, round(v / sqrt(sum(v * v) OVER (PARTITION BY keyword)), 6) AS weight FROM kwraw
+UNION ALL SELECT keyword, NULL, NULL FROM kwords WHERE len(ws) = 0""",
+    "kwraw", "kwords",
+)
+
 add("g3_first_word_clusters", "SELECT keyword, split_part(keyword, ' ', 1) AS cluster FROM kw", "kw")
 
 
@@ -1276,16 +1316,22 @@ FROM (SELECT text, regexp_matches(text, '{ARABIC}') AS a, {normal('text')} AS nt
     "variants",
 )
 
-add("m5_keyword_batches", "SELECT count(*)::BIGINT AS n_keywords, true AS fits FROM kw", "kw")
+add(
+    "m5_keyword_batches",
+    """SELECT batch_id, count(*) AS n, min(keyword) AS first, max(keyword) AS last
+FROM (SELECT keyword, (row_number() OVER (ORDER BY keyword) - 1) // 50 AS batch_id FROM kw) GROUP BY batch_id""",
+    "kw",
+)
 
 # --- L ---------------------------------------------------------------------------------------
 
 STOPPED2 = f"list_filter(t, lambda w: NOT list_contains({arr(lx.ENGLISH_STOPWORDS)}, w))"
 add(
     "l1_information_gain",
-    f"""SELECT * FROM (WITH p AS (SELECT source, doc_id = min(doc_id) OVER (PARTITION BY source) AS mine, {STOPPED2} AS t FROM dtoks),
-g AS (SELECT source, mine, unnest(t) AS term FROM p UNION ALL SELECT source, mine, unnest({grams('t', 2)}) FROM p
-  UNION ALL SELECT source, mine, unnest({grams('t', 3)}) FROM p),
+    f"""SELECT * FROM (WITH p AS (SELECT source, doc_id, doc_id = min(doc_id) OVER (PARTITION BY source) AS mine, {STOPPED2} AS t FROM dtoks),
+w AS (SELECT source, mine, flatten(list(t ORDER BY doc_id)) AS t FROM p GROUP BY source, mine),
+g AS (SELECT source, mine, unnest(t) AS term FROM w UNION ALL SELECT source, mine, unnest({grams('t', 2)}) FROM w
+  UNION ALL SELECT source, mine, unnest({grams('t', 3)}) FROM w),
 c AS (SELECT source, term, count(*) FILTER (mine) AS a, count(*) FILTER (NOT mine) AS b FROM g GROUP BY ALL),
 k AS (SELECT source, term, a * w AS m, b * w AS t FROM (
   SELECT *, CASE WHEN a > 0 AND b > 0 THEN 1.0::DOUBLE ELSE ln(1.5::DOUBLE) + 1.0::DOUBLE END AS w,

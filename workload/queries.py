@@ -18,7 +18,7 @@ from kwloom.operators import (
     assembly, candidates, clustering, gaps, information, metrics, places, quality, reports,
     responses, universal,
 )
-from kwloom.operators.common import shared_folder
+from kwloom.operators.common import cut_lineage, shared_folder
 from kwloom.sources import documents, html, ledger, search, sinks, sitemaps
 from workload import inputs
 from workload import lexicons as wl
@@ -137,10 +137,8 @@ def _(spark, sf_dir):
 @query("a6_seed_document")
 def _(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents")
-    none = docs.select(
-        F.col("source").alias("url"), F.col("lang").alias("title"), "text"
-    ).filter("length(text) < 0")
-    return documents.seed_document(none, "villa design", "owners, , builders", "en", "ae")
+    rows = docs.select(F.col("doc_id").cast("string").alias("url"), F.col("lang").alias("title"), "text")
+    return documents.seed_document(rows, "villa design", "owners, , builders", "en", "ae")
 
 
 def _serp_responses(spark, sf_dir):
@@ -442,6 +440,23 @@ sentence_query(
 )
 kw_query("d4_negative_sentiment", dropped=lambda: filters.negative_sentiment("keyword", wl.NEGATIVE))
 kw_query("d5_grammar_invalid", dropped=lambda: filters.grammar_invalid("keyword", wl.INVALID_STARTS))
+
+
+@query("d5_grammar_tagged")
+def _(spark, sf_dir):
+    """Tags as a table: by the length of each word of the corpus's keywords."""
+    kw = inputs.keywords(spark, sf_dir).select("keyword")
+    words = kw.select("keyword", F.posexplode(tx.words("keyword")).alias("position", "token"))
+    size = F.length("token")
+    tags = words.where("position < 3").select(
+        "keyword", "position", "token",
+        F.when(size > 8, "NOUN").when(size > 6, "ADJ").when(size == 4, "X").when(size < 3, "SCONJ").otherwise("PROPN").alias("pos"),
+        F.when(size == 5, "DT").when(size == 6, "NNS").otherwise("FW").alias("tag"),
+    )
+    checked = candidates.grammar_checked(kw, tags, invalid_starts=wl.INVALID_STARTS, most_nouns=2)
+    return checked.select("keyword", F.col("grammar_invalid").alias("dropped"))
+
+
 kw_query("d6_entity_conflict", dropped=lambda: filters.entity_conflict("keyword", **wl.CONFLICT))
 kw_query("d7_near_me_valid", valid=lambda: filters.near_me_valid("keyword", wl.MOVED_PHRASE))
 kw_query(
@@ -643,7 +658,7 @@ def _clusters(spark, sf_dir):
 @query("g1_vectorize")
 def _(spark, sf_dir):
     """The weight of each word of each keyword; a keyword without words has one row of nulls."""
-    rows = clustering.word_weights(clustering.vectorize(inputs.keywords(spark, sf_dir).select("keyword")))
+    rows = clustering.word_weights(inputs.keywords(spark, sf_dir).select("keyword"))
     return rows.select("keyword", "word", F.round("weight", 6).alias("weight"))
 
 
@@ -652,7 +667,7 @@ def _(spark, sf_dir):
     vectors = inputs.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("keyword"), F.col("embedding").alias("vector")
     )
-    prepared = clustering.vectorize(vectors.select("keyword"), vectors).cache()
+    prepared = cut_lineage(clustering.vectorize(vectors.select("keyword"), vectors))
     n = prepared.count()
     best = clustering.choose_k_silhouette(prepared, n)
     return spark.range(1).select(
@@ -1191,8 +1206,9 @@ def _(spark, sf_dir):
 @query("m5_keyword_batches")
 def _(spark, sf_dir):
     out = responses.keyword_batches(inputs.keywords(spark, sf_dir).select("keyword"), 50)
-    sizes = out.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.sum("n").alias("n_keywords"), (F.max("n") <= 50).alias("fits"))
+    return out.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("keyword").alias("first"), F.max("keyword").alias("last")
+    )
 
 
 # --- N and O: quality and reports ---------------------------------------------------------------------------------------------
