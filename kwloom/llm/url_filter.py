@@ -19,22 +19,36 @@ from pyspark.sql import functions as F
 from kwloom.llm.base import Sent
 
 TOKEN = r"[a-z0-9%]{2,}"
+#: Words that open or close a label of hosts nobody wants to read.
+HOST_WORDS = (
+    "ads adserver adserv adtrack banners clickbait clicks popunder popups tracker tracking doubleclick "
+    "casino casinos poker slots roulette bet bets betting bingo jackpot lottery gambling "
+    "pills pharma pharmacy viagra cialis xanax steroids weightloss "
+    "adult xxx porn sex escorts hookup webcam camgirls "
+    "spam phish phishing malware warez cracks keygen torrents nulled linkfarm doorway "
+    "payday loans forex binaryoptions getrich replica replicas"
+).split()
 #: Fixed values: (action, pattern). Exceptions (allow) win over blocks.
-PATTERN_RULES = (
-    ("block", "||ads."),
-    ("block", "||adserver."),
-    ("block", "||tracker."),
+PAGE_RULES = (
     ("block", "/wp-login.php"),
     ("block", "/cgi-bin/"),
     ("block", "/checkout/"),
     ("block", "^add-to-cart="),
     ("block", "^phpsessid="),
     ("block", "^jsessionid="),
-    ("block", "^utm_source=feed^"),
     ("block", "^replytocom="),
     ("block", "/search?*q="),
     ("allow", "/robots.txt|"),
 )
+
+
+def host_word_rules(words: Iterable[str] = HOST_WORDS) -> list[tuple[str, str]]:
+    """A rule for each form of a host label that opens or closes with a word, or is one."""
+    forms = ("||{}.", "||{}-", "||*-{}.")
+    return [("block", form.format(w)) for w in words for form in forms]
+
+
+PATTERN_RULES = (*host_word_rules(), *PAGE_RULES)
 #: Fixed values: (action, host, path) of the host rules.
 HOST_RULES = (
     ("block", "net", "/"),
@@ -60,6 +74,8 @@ class Rule:
             text, lead = text[1:], "^"
         if text.endswith("|"):
             text, tail = text[:-1], r"\Z"
+        if lead.startswith(r"^[a-z]") and text.startswith("*"):
+            text, lead = text[1:], lead + r"[^/?#.]*"  # inside the label
         parts = {"*": ".*", "^": r"(?:[^a-z0-9_.%\-]|\Z)"}
         return lead + "".join(parts.get(c) or re.escape(c) for c in text) + tail
 
@@ -117,14 +133,19 @@ def host_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return which, action
 
 
+def rule_table(rules: DataFrame) -> list[tuple[str, str]]:
+    """(action, pattern) rows of a table; its index goes to every task, so it is a list in size."""
+    return [(r.action, r.pattern) for r in rules.select("action", "pattern").distinct().orderBy("pattern", "action").collect()]
+
+
 def token_counts(urls: DataFrame, rules: Sequence[Rule]) -> dict[str, int]:
     """How many URLs (column ``url``) hold each token of the rules; of the rules' bounded size."""
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit(f"({TOKEN})"), F.lit(1)))
-    mine = F.array_intersect(tokens, F.array(*map(F.lit, wanted)))
-    return {r.token: r["count"] for r in urls.select(F.explode(mine).alias("token")).groupBy("token").count().collect()}
+    table = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string"))  # the rules' tokens
+    tokens = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit(f"({TOKEN})"), F.lit(1)))).alias("token"))
+    return {r.token: r["count"] for r in tokens.join(table, "token").groupBy("token").count().collect()}
 
 
 def match(urls: DataFrame, rules: Sequence[Rule]) -> Column:
@@ -160,10 +181,11 @@ def judge(
 ) -> DataFrame:
     """(id, host, path, rule, verdict) of every URL.
 
-    The longest fitting host rule decides; without one the pattern rules do, exceptions first.
+    The longest fitting host rule decides; without one the pattern rules do, exceptions first;
+    :func:`rule_table` reads them from a table of any source. Ties go to the rule first in order.
     A null URL, an empty one and one without ``://`` have an empty host and path and no host
     rule; pattern rules see a null URL as empty. Repeated rows and null ids give a row each.
-    Extra columns are not read.
+    A URL of any length is judged whole; an empty table gives no rows. Extra columns are not read.
     """
     rules = [Rule(*r) for r in pattern_rules]
     urls = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
