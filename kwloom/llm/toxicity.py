@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Every word enters as a vector of its own and a mean of vectors of its character trigrams. All
-overlapping windows of a text are scored; the text's score is that of its highest window, in
-training (where the label is the text's) as in scoring.
+Every word enters as a vector of its own and a mean of vectors of its character trigrams. The
+windows of a text that start at each of its words are all scored; the text's score is that of its
+highest window, in training (where the label is the text's) as in scoring.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 from kwloom.llm.base import Sent, fold, sample_ids, sliced
 from kwloom.llm.hashing import mixed
 
-#: Words of a window, and from one window's start to the next.
-WINDOW, STEP = 32, 16
+#: Words of a window; one starts at every word that has so many from there on.
+WINDOW = 8
 #: Labelled texts learned from, toxic and clean, each of at most so many characters.
 TOXIC, CLEAN, CHARS = 1500, 3000, 20_000
 #: Vectors: of words known (in three texts at least), of trigram slots, their sizes, hidden units, attention units.
 VOCABULARY, TRIGRAMS, WORD, CHAR, HIDDEN, ATTENTION = 20_000, 4096, 12, 12, 8, 8
 #: Epochs on windows at random, then on each text's highest window; texts of a step; learning rate.
-WARM, EPOCHS, BATCH, RATE = 3, 8, 64, 0.01
+WARM, EPOCHS, BATCH, RATE = 4, 18, 64, 0.01
+#: Epochs on the same highest windows before all windows are scored again.
+AGAIN = 3
 #: Share of words shown as unknown in training.
 UNKNOWN = 0.15
 #: Words a task remembers, and windows it scores at a time.
@@ -48,11 +50,11 @@ def trigram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (mixed(key[inside[:-2]]) % np.uint64(TRIGRAMS)).astype(np.int32), counts
 
 
-def windows(counts: np.ndarray, window: int = WINDOW, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """(text, first word in it) of all windows that cover each text with words."""
-    per_text = np.where(counts > 0, np.maximum(0, -(-(counts - window) // step)) + 1, 0)
+def windows(counts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first word in it) of all windows of texts of so many words; a short text is one window."""
+    per_text = np.where(counts > 0, np.maximum(0, counts - window) + 1, 0)
     text = np.repeat(np.arange(len(counts)), per_text)
-    return text, (np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)) * step
+    return text, np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
 
 
 @dataclass
@@ -119,6 +121,70 @@ class Network:
             keep["top"] = (states, a, alpha, pooled)
         return pooled @ self.p["wo"] + self.p["co"][0]
 
+    def sliding(self, gates: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """The logit of the window at each word of ``rows`` (rows of ``gates``) that has a whole one.
+
+        What :meth:`logits` gives window by window: neighbours read the same gates, shifted by a
+        word, so that a step of all windows is arithmetic on slices.
+        """
+        n, p = len(rows) - WINDOW + 1, self.p
+        forth, back = (np.ascontiguousarray(g[rows].T) for g in gates)
+        # tanh gives both gates: a sigmoid is half a tanh of half its input, plus a half
+        half = np.repeat(np.array([0.5, 0.5, 1.0], dtype=np.float32), HIDDEN)[:, None]
+        states = np.empty((WINDOW, HIDDEN, n), dtype=np.float32)
+
+        def step(x: np.ndarray, u: np.ndarray, h: np.ndarray, out: np.ndarray) -> None:
+            hu = u @ h
+            zr = np.tanh(x[:2 * HIDDEN] * np.float32(0.5) + hu[:2 * HIDDEN])
+            zr *= np.float32(0.5)
+            zr += np.float32(0.5)
+            new = zr[HIDDEN:]
+            new *= hu[2 * HIDDEN:]
+            new += x[2 * HIDDEN:]
+            np.tanh(new, out=new)
+            np.subtract(h, new, out=out)
+            out *= zr[:HIDDEN]
+            out += new
+
+        h, u = np.zeros((HIDDEN, n), dtype=np.float32), np.ascontiguousarray(p["Uf"].T) * half
+        for t in range(WINDOW):
+            step(forth[:, t:t + n], u, h, states[t])
+            h = states[t]
+        h, u = np.zeros((HIDDEN, n), dtype=np.float32), np.ascontiguousarray(p["Ub"].T) * half
+        own, other = np.ascontiguousarray(p["Wa"][:HIDDEN].T), np.ascontiguousarray(p["Wa"][HIDDEN:].T)
+        told, weight = np.empty((WINDOW, n), dtype=np.float32), np.empty((WINDOW, n), dtype=np.float32)
+        for t in range(WINDOW - 1, -1, -1):
+            now = np.empty_like(h)
+            step(back[:, t:t + n], u, h, now)
+            h = now
+            a = own @ states[t]
+            a += other @ h
+            a += p["ca"][:, None]
+            weight[t] = p["va"] @ np.tanh(a, out=a)
+            told[t] = p["wo"][:HIDDEN] @ states[t] + p["wo"][HIDDEN:] @ h
+        weight -= weight.max(axis=0)
+        np.exp(weight, out=weight)
+        return (weight * told).sum(axis=0) / weight.sum(axis=0) + p["co"][0]
+
+    def all_logits(self, gates: list[np.ndarray], rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The logit of every window, in the order of :func:`windows`, of texts of ``counts`` words end to end."""
+        of, begin = windows(counts)
+        first = np.cumsum(counts) - counts
+        at, out = first[of] + begin, np.empty(len(of), dtype=np.float32)
+        short = np.flatnonzero(counts[of] < WINDOW)
+        for b in range(0, len(short), AT_ONCE):
+            some = short[b:b + AT_ONCE]
+            mask = np.arange(WINDOW) < counts[of[some], None]
+            out[some] = self.logits(gates, rows[at[some, None] + np.where(mask, np.arange(WINDOW), 0)], mask)
+        whole = np.flatnonzero(counts[of] >= WINDOW)
+        ends = np.searchsorted(at[whole], np.arange(0, len(rows) + AT_ONCE, AT_ONCE))
+        for k, b in enumerate(range(0, len(rows), AT_ONCE)):
+            some = whole[ends[k]:ends[k + 1]]
+            if len(some):
+                low, high = at[some[0]], at[some[-1]] + WINDOW  # windows across two texts are left aside
+                out[some] = self.sliding(gates, rows[low:high])[at[some] - low]
+        return out
+
     def gradients(self, x: np.ndarray, rows: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the weighted log loss by parameter, and by the input vectors ``x``."""
         keep: dict = {}
@@ -203,17 +269,16 @@ def train(texts: list[list[str]], labels: np.ndarray, base: float, seed: int = 4
         return flat[first[of[chosen], None] + np.where(mask, place, 0)], mask
 
     def scored() -> np.ndarray:
-        gates = net.projected(net.inputs(ids, slots, sizes))
-        return np.concatenate([net.logits(gates, *cut(np.arange(b, min(b + AT_ONCE, len(of))))) for b in range(0, len(of), AT_ONCE)])
+        return net.all_logits(net.projected(net.inputs(ids, slots, sizes)), flat, counts)
 
     weight = np.where(labels == 1, base / max(labels.mean(), 1e-9), (1 - base) / max(1 - labels.mean(), 1e-9)).astype(np.float32)
     weight = np.sqrt(weight)  # between even classes and the true share
     for epoch in range(sum(epochs)):
         pick = firsts + rng.integers(0, numbers)
         if epoch >= epochs[0]:
-            score = scored()
-            order = np.lexsort((-score, of))
-            pick = order[firsts]
+            if (epoch - epochs[0]) % AGAIN == 0:
+                highest = np.lexsort((-scored(), of))[firsts]
+            pick = highest
         again = np.arange(len(texts))
         if epoch >= epochs[0]:  # clean texts also show a window at random
             extra = np.flatnonzero(labels == 0)
@@ -265,7 +330,8 @@ def fit(
     chosen = sample_ids(short.where("toxic = 1"), "id", "toxic", toxic).union(sample_ids(short.where("toxic = 0"), "id", "toxic", clean))
     # of bounded size: toxic + clean ids
     chosen = F.broadcast(chosen.select(F.col("_id").alias("id"), F.col("_class").alias("toxic")))
-    got = rows.where(F.length("text") <= CHARS).join(chosen, "id").select("id", clean_words("text").alias("text"), "toxic").collect()
+    short_rows = rows.where(F.length("text") <= CHARS).join(chosen, "id").select("id", clean_words("text").alias("text"), "toxic")
+    got = short_rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()  # a text for each id
     got.sort(key=lambda r: (r.id, r.text or ""))
     return train([(r.text or "").split() for r in got], np.array([r.toxic for r in got]), base)
 
@@ -300,15 +366,8 @@ def score(df: DataFrame, network: Network, text_col: str = "text", id_col: str =
                 at_word.update(zip(new, range(len(at_word), len(at_word) + len(new)), strict=True))
                 tables = [np.concatenate(x) for x in zip(tables, net.projected(net.inputs(ids, slots, sizes)), strict=True)]
             rows = np.fromiter((at_word[w] for w in names), dtype=np.int64, count=len(names))[codes]
-            first = np.cumsum(counts) - counts
-            of, begin = windows(counts)
-            logits = np.empty(len(of), dtype=np.float32)
-            for b in range(0, len(of), AT_ONCE):
-                some = slice(b, b + AT_ONCE)
-                place = begin[some, None] + np.arange(WINDOW)
-                mask = place < counts[of[some], None]
-                at = rows[first[of[some], None] + np.where(mask, place, 0)]
-                logits[some] = net.logits(tables, at, mask)
+            of, _ = windows(counts)
+            logits = net.all_logits(tables, rows, counts)
             best = np.maximum.reduceat(logits, np.searchsorted(of, np.arange(len(counts)))) if len(of) else logits
             value = np.where(empty, net.base, _sigmoid(best.astype(float)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(value)], names=["id", "score"])
