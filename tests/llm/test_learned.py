@@ -1,6 +1,7 @@
 """Learned operators: the mathematics by brute force, accuracy on rows held out, and odd rows."""
 
 import itertools
+import random
 
 import numpy as np
 import public_tokenizers
@@ -45,6 +46,52 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(li.forward(table.lattice(letters), p)[len(word), 0], want)
 
 
+def test_runs_of_any_length_are_summed_alike(monkeypatch):
+    pieces = li.read_pieces(PIECES)
+    assert max(map(len, pieces)) == 16 and len(pieces) > 25_000
+    table = li.Pieces.build(pieces)
+    p = np.random.default_rng(0).random((len(pieces) + 2, 2)) * 1e-3
+    p[-2:] = [[0.0, 0.0], [li.UNKNOWN] * 2]
+    lattice = table.lattice(li._letters([(li.START + "internationalisationthequick" * 2)[:40], (li.START + "ß水" + "abcd" * 10)[:40]], 40))
+    for plain, back in ((li.forward, False), (li.backward, True)):
+        values, scale = li.scaled(lattice, p, back)
+        assert np.allclose(np.log(values) + scale, np.log(plain(lattice, p)), rtol=1e-12)
+    counts = {"a": {"thequickbrown": 3, "fox": 1, "jumps" * 5: 2}, "b": {"zwölf": 2, "boxkämpfer": 1}}
+    usual = li.learn(counts, pieces, {"a": 1, "b": 1})
+    monkeypatch.setattr(li, "SHORT", 0)  # all words by the scaled sums
+    other = li.learn(counts, pieces, {"a": 1, "b": 1})
+    assert np.allclose(usual.probabilities, other.probabilities, rtol=1e-9)
+    assert np.allclose(usual.scores(["thequick"]), other.scores(["thequick"]))
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    pieces = ["a", "b", "ab", "ba", "▁", "▁a"]
+    table = li.Pieces.build(pieces)
+    p = np.random.default_rng(1).random((len(pieces) + 2, 1))
+    p[-2:] = [[0.0], [li.UNKNOWN]]
+    word, total, want = "▁abab", 0.0, np.zeros(len(pieces) + 2)
+    for cuts in itertools.product([0, 1], repeat=len(word) - 1):
+        parts = "".join(c + "|" * k for c, k in zip(word, [*cuts, 0], strict=True)).split("|")
+        rows = [pieces.index(x) if x in pieces else -2 for x in parts]
+        chance = np.prod([p[r, 0] for r in rows])
+        total += chance
+        np.add.at(want, rows, chance)
+    lattice = table.lattice(li._letters([word], len(word)))
+    alpha, beta, got = li.forward(lattice, p)[:, :, 0], li.backward(lattice, p)[:, :, 0], np.zeros(len(pieces) + 2)
+    li._expect(got, lattice, p, alpha, beta / alpha[len(word)])
+    assert np.allclose(got, want / total)
+
+
+def test_text_without_spaces(spark):
+    rng = random.Random(2)
+    syllables = {"a": ["ka", "mi", "to", "shi", "ne"], "b": ["blo", "gra", "dun", "vek", "ost"]}
+    rows = [(i, "".join(rng.choice(syllables[x]) for _ in range(400)), x) for i, x in enumerate("ab" * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.fit(docs.where("doc_id < 20"), PIECES)
+    got = li.predict(docs, model).join(docs, "doc_id").collect()
+    assert len(got) == 40 and all(r.lang_pred == r.lang and r.score > 0.99 for r in got)
+
+
 def test_language_on_held_out_rows(documents, model):
     got = documents.select("doc_id", "lang", li.held_out().alias("out")).join(li.predict(documents, model), "doc_id").where("out")
     right, total = got.where("lang = lang_pred").count(), got.count()
@@ -54,8 +101,8 @@ def test_language_on_held_out_rows(documents, model):
 def test_language_of_odd_rows(spark, model):
     rows = [(1, None), (2, ""), (3, "123 !"), (None, "the and of the"), (4, "x" * 100), (5, "the " * 30000), (5, "the " * 30000)]
     df = spark.createDataFrame([(i, t, "xx") for i, t in rows], "doc_id long, text string, score string")
-    got = li.predict(df, model, carry=["score"]).toDF("doc_id", "lang_pred", "value", "carried").collect()
-    assert len(got) == 7 and all(0 <= r.value <= 1 and r.carried == "xx" for r in got)
+    got = li.predict(df, model).toDF("doc_id", "lang_pred", "value").collect()
+    assert len(got) == 7 and all(0 <= r.value <= 1 for r in got)
     told = {r.doc_id: r.lang_pred for r in got}
     assert told[1] == told[2] == told[3] == "und" and told[None] == told[5] == "en"
     nothing = df.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
@@ -94,12 +141,33 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - grad[at]) < 2e-4, name
 
 
-def test_windows_cover_every_word():
-    of, begin = toxicity.windows(np.array([0, 1, 32, 33, 48, 49, 200]))
-    for text, n in enumerate([0, 1, 32, 33, 48, 49, 200]):
-        mine = begin[of == text]
-        assert {k for b in mine for k in range(b, min(n, b + toxicity.WINDOW))} == set(range(n))
-        assert all(b - a == toxicity.STEP for a, b in itertools.pairwise(mine))
+def test_windows_start_at_every_word():
+    sizes = [0, 1, 7, 8, 9, 40]
+    of, begin = toxicity.windows(np.array(sizes))
+    for text, n in enumerate(sizes):
+        assert begin[of == text].tolist() == list(range(max(n - toxicity.WINDOW, 0) + 1 if n else 0))
+
+
+def test_all_windows_score_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "AT_ONCE", 16)
+    rng = np.random.default_rng(3)
+    net = toxicity.Network.fresh({f"w{k}": k + 1 for k in range(30)}, seed=9)
+    for name in net.p:  # far from the start, so that gates close and open
+        net.p[name] = (net.p[name] + rng.normal(size=net.p[name].shape) * 0.5).astype(np.float32)
+    names = [f"w{k}" for k in range(40)]
+    slots, sizes = toxicity.trigram_slots(names)
+    gates = net.projected(net.inputs(np.arange(1, 41) % 31, slots, sizes))
+    counts = np.array([3, 0, 50, 8, 1, 7, 9, 0, 33])
+    rows = rng.integers(0, 40, counts.sum())
+    got = net.all_logits(gates, rows, counts)
+    of, begin = toxicity.windows(counts)
+    first = np.cumsum(counts) - counts
+    for k, (text, start) in enumerate(zip(of, begin, strict=True)):
+        size = min(toxicity.WINDOW, counts[text])
+        at = first[text] + start
+        one = net.logits(gates, rows[None, at:at + size], np.ones((1, size), dtype=bool))
+        assert abs(float(one[0]) - float(got[k])) < 1e-4
+    assert len(got) == len(of) == 3 - 2 + 43 + 1 + 1 + 1 + 2 + 26
 
 
 def test_toxicity_learns_words_and_scores_odd_rows(spark):
