@@ -1,8 +1,10 @@
 """Licences of files, in DataFrame functions only.
 
-Passages of a file (its lines and paragraphs) are compared with licence templates by sparse TF-IDF
-cosine, weighted by counts over all files; a file without a notice of its own takes the licence of the nearest directory above it
-that holds a licence file.
+Every telling term of a licence template marks a window of the template's size in a file, placed as
+the term is placed in the template; windows and templates are compared by sparse TF-IDF cosine,
+weighted by counts over all files. A licence is named only where its naming terms are in the window.
+A file without a notice of its own takes the licence of the nearest directory above it that holds a
+licence file.
 """
 
 from __future__ import annotations
@@ -42,10 +44,39 @@ TEMPLATES = (
                 "MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Fixed values: (licence, name in a notice); each makes short notices.
+NAMED = (
+    ("ISC", "ISC"), ("BSD-2-Clause", "BSD 2-Clause"), ("BSD-3-Clause", "BSD 3-Clause"), ("0BSD", "Zero-Clause BSD"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"), ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"), ("GPL-2.0", "GNU General Public License, version 2"),
+    ("MPL-1.1", "Mozilla Public License, Version 1.1"), ("EPL-1.0", "Eclipse Public License, Version 1.0"),
+    ("EPL-2.0", "Eclipse Public License, Version 2.0"), ("Python-2.0", "Python"), ("Zlib", "zlib"), ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("Artistic-2.0", "Artistic License, Version 2.0"), ("CC0-1.0", "CC0 1.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"), ("WTFPL", "WTFPL"), ("EUPL-1.2", "European Union Public Licence, Version 1.2"),
+    ("PostgreSQL", "PostgreSQL"), ("MS-PL", "Microsoft Public License"), ("OFL-1.1", "SIL Open Font License, Version 1.1"), ("Ruby", "Ruby"),
+)
+#: Words that notices share, whatever the licence.
+COMMON = frozenset("a as by in is of on or the this to under with released licensed license licence licenses version general public software work".split())
+
+
+def named_templates(named: Sequence[tuple[str, str]] = NAMED) -> list[tuple[str, str]]:
+    """Short notices of each licence."""
+    out = []
+    for license_, name in named:
+        word = "" if re.search("licen[cs]e", name, re.I) or name.startswith("CC") else " License"
+        out += [(license_, f"Released under the {name}{word}."), (license_, f"Licensed under the {name}{word}.")]
+    return out
+
+
+#: A notice of a licence that no template names.
+UNNAMED = "NOASSERTION"
 #: Fixed value: names of licence files, without extension, in lower case.
 LICENSE_NAMES = ("license", "licence", "copying", "unlicense", "notice")
 THRESHOLD = 0.6
+#: Words up to which a template is a short notice, which must share its naming terms.
+SHORT = 16
 _WORD = "[a-z0-9]+"
+_VAGUE = r"(?i)\b(?:released|licensed|distributed)\s+under\s+(?:the\s+)?(?:terms\s+of\s+the\s+)?(?:[\w.+/\-]+[\s,]+){1,8}licen[cs]e\b"
 
 
 class Weighted:
@@ -56,31 +87,41 @@ class Weighted:
     """
 
     def __init__(self, templates: Sequence[tuple[str, str]], n: int, df: dict[str, int]) -> None:
-        terms = [Counter(re.findall(_WORD, text.lower())) for _, text in templates]
+        self.words = [re.findall(_WORD, text.lower()) for _, text in templates]
         self.idf = {t: max(math.log((1 + n) / (1 + df.get(t, 0))), 1e-3) for t in sorted(vocabulary(templates))}
         self.other = sum(self.idf.values()) / max(1, len(self.idf))
         self.rows = []
-        for i, ((name, _), counts) in enumerate(zip(templates, terms, strict=True)):
-            weights = {t: (1 + math.log(k)) * self.idf[t] for t, k in counts.items()}
+        for i, ((name, _), words) in enumerate(zip(templates, self.words, strict=True)):
+            weights = {t: (1 + math.log(k)) * self.idf[t] for t, k in Counter(words).items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
             self.rows += [(i, name, t, w / norm) for t, w in weights.items()]
 
-    def anchors(self, threshold: float) -> list[str]:
-        """Terms of which a passage must hold one to reach the threshold with any template.
+    def naming(self, template: int) -> list[str]:
+        """Terms of a short notice that a window must hold, all of them, to be of its licence."""
+        words = self.words[template]
+        return sorted(set(words) - COMMON) if len(words) <= SHORT else []
+
+    def anchors(self, template: int, threshold: float) -> list[str]:
+        """Terms of which a window must hold one: the rarest naming term, or the heaviest terms.
 
         What is left of a template without its heaviest terms is shorter than the threshold, so
-        no passage of other terms alone can come up to it.
+        no window of other terms alone can come up to it.
         """
-        out: set[str] = set()
-        for i in {r[0] for r in self.rows}:
-            weights = sorted(((w, t) for j, _, t, w in self.rows if j == i), reverse=True)
-            rest = 1.0
-            for w, t in weights:
-                if rest < threshold**2 - 1e-9:
-                    break
-                out.add(t)
-                rest -= w * w
-        return sorted(out)
+        if named := self.naming(template):
+            return [max(named, key=lambda t: (self.idf[t], t))]
+        out, rest = [], 1.0
+        for w, t in sorted(((w, t) for j, _, t, w in self.rows if j == template), reverse=True):
+            if rest < threshold**2 - 1e-9:
+                break
+            out.append(t)
+            rest -= w * w
+        return out
+
+    def places(self, threshold: float) -> list[tuple[str, int, int, int]]:
+        """(term, template, words before it there, words of the template) of all anchors."""
+        return [
+            (t, i, words.index(t), len(words)) for i, words in enumerate(self.words) for t in self.anchors(i, threshold)
+        ]
 
 
 def vocabulary(templates: Sequence[tuple[str, str]]) -> set[str]:
@@ -96,42 +137,58 @@ def weigh(files: DataFrame, templates: Sequence[tuple[str, str]]) -> Weighted:
     return Weighted(templates, files.count(), df)
 
 
-def passages(text: str | Column) -> Column:
-    """The distinct lines of a text, and its paragraphs of several lines."""
-    text = F.col(text) if isinstance(text, str) else text
-    clean = F.lower(F.regexp_replace(text, r"\r\n?", "\n"))
-    return F.array_distinct(F.concat(F.split(clean, "\n"), F.split(clean, r"\n[^\S\n]*\n\s*")))
+def windows(files: DataFrame, model: Weighted, threshold: float) -> DataFrame:
+    """(path, template, words): the words that stand where a template would, by each anchor of it."""
+    spark = files.sparkSession
+    places = model.places(threshold)
+    anchor = r"(?<![a-z0-9])(?:" + "|".join(sorted({p[0] for p in places})) + r")(?![a-z0-9])"
+    words = F.regexp_extract_all(F.lower("text"), F.lit(f"({_WORD})"), F.lit(1))
+    # the templates are a list of the caller's, so this table is small
+    table = F.broadcast(spark.createDataFrame(places, "term string, template int, before int, length int"))
+    begin = F.greatest(F.col("at") - F.col("before"), F.lit(0))
+    return (
+        files.where(F.lower("text").rlike(anchor)).select("path", words.alias("all"))
+        .select("path", "all", F.posexplode("all").alias("at", "term")).join(table, "term")
+        .select("path", "template", F.slice("all", begin + 1, F.col("length")).alias("words"))
+    )
 
 
-def notices(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def notices(files: DataFrame, templates: Sequence[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(path, license, similarity): the best notice of each file (path, text) that has one.
 
-    Ties go to the licence first in order.
+    An SPDX identifier counts as it stands, with similarity 1. Then the window most like a
+    template; ties go to the licence first in order. A file that only says it is under some
+    other licence has ``NOASSERTION`` and a null similarity.
     """
+    templates = TEMPLATES + tuple(named_templates()) if templates is None else templates
     spark = files.sparkSession
     model = weigh(files, templates)
-    anchor = r"(?<![a-z0-9])(?:" + "|".join(model.anchors(threshold)) + r")(?![a-z0-9])"
-    held = stored(
-        files.where(F.lower("text").rlike(anchor)).select("path", F.explode(passages("text")).alias("passage"))
-        .where(F.col("passage").rlike(anchor)).withColumn("digest", F.unhex(F.md5("passage")))
-    )
-    # the templates are a list of the caller's, so these two tables are small
-    weights = F.broadcast(spark.createDataFrame(model.rows, "template int, license string, term string, weight double"))
+    held = stored(windows(files, model, threshold).withColumn("digest", F.unhex(F.md5(F.concat_ws(" ", "words")))))
+    rows = [(i, name, t, w, model.naming(i)) for i, name, t, w in model.rows]
+    weights = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, weight double, naming array<string>"))
     idf = F.broadcast(spark.createDataFrame(list(model.idf.items()), "term string, idf double"))
+    distinct = held.groupBy("digest").agg(F.first("words").alias("words"))
     terms = (
-        held.groupBy("digest").agg(F.first("passage").alias("passage"))
-        .select("digest", F.explode(F.regexp_extract_all("passage", F.lit(f"({_WORD})"), F.lit(1))).alias("term"))
-        .groupBy("digest", "term").agg(F.count(F.lit(1)).alias("tf"))
+        distinct.select("digest", F.explode("words").alias("term")).groupBy("digest", "term").agg(F.count(F.lit(1)).alias("tf"))
         .join(idf, "term", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(model.other)))
     )
     norms = terms.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = terms.join(weights, "term").groupBy("digest", "template", "license").agg(
+        F.sum(F.col("w") * F.col("weight")).alias("dot"), F.collect_set("term").alias("shared"), F.first("naming").alias("naming")
+    )  # terms of one template
     cosines = (
-        terms.join(weights, "term").groupBy("digest", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+        dots.where(F.size(F.array_except("naming", "shared")) == 0)
         .join(norms, "digest").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 9))
-        .where(F.col("similarity") >= threshold)
+        .where(F.col("similarity") >= threshold).select("digest", "template", "license", "similarity")
     )
-    scored = stored(_best(cosines, "digest"))
-    return _best(held.select("path", "digest").join(scored, "digest"), "path")
+    scored = stored(cosines)
+    found = held.select("path", "digest", "template").distinct().join(scored, ["digest", "template"]).select("path", "license", "similarity")
+    tag = F.regexp_extract("text", r"(?i)SPDX-License-Identifier:\s*\(?([a-z0-9.+\-]*[a-z0-9+])", 1)
+    tagged = files.select("path", tag.alias("license")).where("license <> ''").select("path", "license", F.lit(2.0).alias("similarity"))
+    vague = files.where(F.col("text").rlike(_VAGUE)).select("path", F.lit(UNNAMED).alias("license"), F.lit(-1.0).alias("similarity"))
+    best = _best(found.union(tagged).union(vague), "path")
+    similarity = F.when(F.col("similarity") > 0, F.least("similarity", F.lit(1.0)))
+    return best.withColumn("similarity", similarity)
 
 
 def _best(df: DataFrame, key: str) -> DataFrame:
@@ -164,7 +221,7 @@ def is_license_file(path: str | Column) -> Column:
 
 
 def scan(
-    files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
+    files: DataFrame, templates: Sequence[tuple[str, str]] | None = None, threshold: float = THRESHOLD,
     path_col: str = "path", text_col: str = "text",
 ) -> DataFrame:
     """(path, license, similarity, found, origin): the licence of every file.
@@ -172,13 +229,15 @@ def scan(
     ``found`` is "own" for a notice in the file, "inherited" for the licence of the nearest
     directory above with a licence file, whose directory is ``origin``; all null if there is
     neither. Of several licence files in a directory the best match counts, ties the first
-    licence in order. Null and empty texts have no notice of their own and may inherit; null
+    licence in order; ``NOASSERTION`` gives way to any named licence. Null and empty texts have no notice of their own and may inherit; null
     paths are left out. Repeated paths are one file with all their texts. Extra columns are
     not read.
     """
     files = files.select(F.col(path_col).alias("path"), F.col(text_col).cast("string").alias("text")).where("path is not null")
     own = stored(notices(files, templates, threshold))
-    at_directory = _best(own.where(is_license_file("path")).withColumn("above", parent("path")), "above")
+    sure = own.withColumn("similarity", F.coalesce("similarity", F.lit(-1.0)))
+    at_directory = _best(sure.where(is_license_file("path")).withColumn("above", parent("path")), "above")
+    at_directory = at_directory.withColumn("similarity", F.when(F.col("similarity") >= 0, F.col("similarity")))
     paths = files.select("path").distinct().withColumn("dir", parent("path"))
     directories = paths.select("dir").distinct()
     nearest = F.max(F.struct("depth", "above", "license", "similarity"))

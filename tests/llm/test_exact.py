@@ -251,25 +251,45 @@ def test_license_scan(spark):
     assert license_scan.scan(empty(df)).count() == 0
 
 
+def test_license_named_tagged_and_vague(spark):
+    prose = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = {
+        "Released under the ISC License.": "ISC", "Released under the BSD License.": "NOASSERTION", "Released under the Python License.": "Python-2.0",
+        "Released under the Frobnicate License.": "NOASSERTION", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: (Apache-2.0 OR MIT)": "Apache-2.0",
+        f"{prose} {prose} Released under the MIT License. {prose} {prose}": "MIT", f"{prose} Licensed under the Apache License, Version 2.0. {prose}": "Apache-2.0",
+        f"/*\n * Licensed under the\n * Mozilla Public License, Version 1.1.\n * {prose}\n */": "MPL-1.1", "BSD 2-Clause": "BSD-2-Clause",
+        "Licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        f"das Wort steht mit der Hand und mit der {prose}": None, "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "the license of the work": None,
+    }
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(rows)] + [(f"x{i}", f"{prose} the license of this work {i}") for i in range(30)], "path string, text string")
+    got = {r.path: r.license for r in license_scan.notices(df).collect()}
+    assert {t: got.get(f"d{i}") for i, t in enumerate(rows)} == rows
+    assert not any(k.startswith("x") for k in got)
+    assert len({x for x, _ in (*license_scan.TEMPLATES, *license_scan.named_templates())}) >= 30
+
+
 def test_license_cosine_by_brute_force(spark, documents):
     files = license_scan.document_paths(documents)
-    model = license_scan.weigh(files, license_scan.TEMPLATES)
+    templates = (*license_scan.TEMPLATES, *license_scan.named_templates())
+    model = license_scan.weigh(files, templates)
     vectors: dict[int, dict] = {}
-    names = {}
-    for i, name, term, w in model.rows:
+    for i, _, term, w in model.rows:
         vectors.setdefault(i, {})[term] = w
-        names[i] = name
     want = {}
     for r in files.collect():
-        for line in set(r.text.lower().split("\n")):
-            tf = Counter(re.findall("[a-z0-9]+", line))
-            w = {t: (1 + np.log(n)) * model.idf.get(t, model.other) for t, n in tf.items()}
-            norm = np.sqrt(sum(x * x for x in w.values()))
-            for i, v in vectors.items():
-                cosine = sum(x * v.get(t, 0) for t, x in w.items()) / norm if norm else 0
+        words = re.findall("[a-z0-9]+", r.text.lower())
+        for i, template in enumerate(model.words):  # every window of every template's size
+            if not set(model.naming(i)) <= set(words):
+                continue
+            for at in range(max(1, len(words) - len(template) + 1)):
+                window = words[at:at + len(template)]
+                if not set(model.naming(i)) <= set(window) or not set(window) & set(template):
+                    continue
+                w = {t: (1 + np.log(n)) * model.idf.get(t, model.other) for t, n in Counter(window).items()}
+                cosine = sum(x * vectors[i].get(t, 0) for t, x in w.items()) / np.sqrt(sum(x * x for x in w.values()))
                 if cosine >= license_scan.THRESHOLD:
-                    want[r.path] = max(want.get(r.path, (0,)), (round(cosine, 6), names[i]))
-    got = {r.path: (round(r.similarity, 6), r.license) for r in license_scan.notices(files).collect()}
+                    want[r.path] = max(want.get(r.path, (0,)), (round(cosine, 6), templates[i][0]))
+    got = {r.path: (round(r.similarity, 6), r.license) for r in license_scan.notices(files).where("similarity is not null").collect()}
     assert got == want and want
 
 
