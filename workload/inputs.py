@@ -52,8 +52,8 @@ def doc_count(spark: SparkSession, sf_dir: str):
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in for stored suggestions: frequent longer keywords under their first two words."""
-    kw = keywords(spark, sf_dir).filter((F.col("freq") >= 3) & (tx.word_count("keyword") > 2))
+    """Stand-in for stored suggestions: longer keywords under their first two words."""
+    kw = keywords(spark, sf_dir).filter(tx.word_count("keyword") > 2)
     lang = F.when(F.length("keyword") % 2 == 0, "en").otherwise("ar")
     return kw.select(
         assembly.probe("keyword").alias("query"), lang.alias("lang"), F.lit("ae").alias("country"),

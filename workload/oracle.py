@@ -198,7 +198,7 @@ define(
     "sug",
     """SELECT split_part(keyword, ' ', 1) || ' ' || split_part(keyword, ' ', 2) AS query,
   CASE WHEN length(keyword) % 2 = 0 THEN 'en' ELSE 'ar' END AS lang, keyword AS suggestion
-  FROM kw WHERE freq >= 3 AND len(string_split(keyword, ' ')) > 2""",
+  FROM kw WHERE len(string_split(keyword, ' ')) > 2""",
     "kw",
 )
 PROBE = (
@@ -1176,12 +1176,12 @@ FILLED = ", ".join(f"coalesce({c}, '') AS {c}" for c in ENTITY_COLUMNS)
 add("j1_extract_entities", f"SELECT keyword, {FILLED}, is_local, is_contracting FROM tags", "tags")
 add(
     "j1_gazetteer_matches",
-    f"""SELECT keyword, kind, upper(key) AS display, region, 'phrase' AS type FROM (
+    f"""SELECT keyword, kind, 'the ' || key AS display, region, 'phrase' AS type FROM (
   SELECT *, row_number() OVER (PARTITION BY keyword, kind ORDER BY length(key) DESC, key) AS r FROM (
     SELECT g.keyword, z.kind, z.key, z.region FROM (
       SELECT DISTINCT keyword, unnest(list_concat({TOK}, list_concat({grams(TOK, 2)}, {grams(TOK, 3)}))) AS key FROM kw) g
     JOIN (SELECT CASE WHEN length(keyword) % 2 = 0 THEN 'district' ELSE 'landmark' END AS kind, keyword AS key, n_name AS region
-      FROM kw JOIN nation ON n_nationkey = length(keyword) % 25 WHERE freq >= 20) z ON z.key = g.key)) WHERE r = 1""",
+      FROM kw JOIN nation ON n_nationkey = length(keyword) % 25 ) z ON z.key = g.key)) WHERE r = 1""",
     "kw",
 )
 ENDINGS = [e for k, _ in wl.REGIONS for e in (k, f"in {k}")] + [
@@ -1386,7 +1386,7 @@ add(
   WHEN 2 THEN array_to_string(list_concat(['## ' || ti || chr(10)], list_transform(p, lambda x, i: '**Step ' || i || ':** ' || x)), chr(10) || chr(10))
   WHEN 3 THEN array_to_string(list_concat(['## ' || ti || chr(10)], list_transform(p, lambda x: '- ' || x)), chr(10))
   ELSE ti || ' involves the following key considerations:' || chr(10) || chr(10) || array_to_string(list_transform(p, lambda x: '• ' || x), chr(10))
-  END AS snippet FROM (SELECT doc_id, sent_no, {title('sentence')} AS ti, ({words('sentence')})[1:12] AS p FROM sent)""",
+  END AS snippet FROM (SELECT doc_id, sent_no, {title('sentence')} AS ti, {words('sentence')} AS p FROM sent)""",
     "sent",
 )
 
