@@ -23,14 +23,17 @@ from pyspark.sql.window import Window
 V = TypeVar("V")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only a session without one gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        found = tempfile.mkdtemp(prefix="kwloom-llm-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="kwloom-llm-")
+        _own[spark.sparkContext.applicationId] = found
     return found
 
 
@@ -41,6 +44,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(keys: DataFrame, rows: int = 250_000) -> DataFrame:
+    """A stored table of keys for a semi or anti join: to every task while it has few rows.
+
+    The other side then stays where it is; beyond that bound both sides are shuffled by key.
+    """
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
 class Sent(Generic[V]):
     """A value of bounded size on its way to all tasks; its class travels with it."""
 
@@ -53,14 +64,25 @@ class Sent(Generic[V]):
         return pickle.loads(self._bytes.value)
 
 
-def trim_memory() -> None:
-    """Give what a finished task no longer needs back to the system: workers outlive their tasks."""
-    gc.collect()
+def trim_memory(collect: bool = True) -> None:
+    """Give what a task no longer needs back to the system: workers outlive their tasks."""
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def rest(spark: SparkSession) -> None:
+    """Let executors collect the garbage of finished work: a JVM keeps its heap until it does.
+
+    Python workers of the next stage then find the memory that this one's shuffles took.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    collected = F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, tasks, 1, tasks).select(collected.alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return (F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % folds).cast("int")
@@ -86,7 +108,10 @@ def sample_ids(df: DataFrame, id_col: str, class_col: str, per_class: int) -> Da
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that the text of each is ``limit`` bytes or a single row."""
+    """Arrow batches cut so that the text of each is ``limit`` bytes or a single row.
+
+    What a batch took goes back to the system before the next one comes, and after the last.
+    """
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes.astype(np.int64))
@@ -96,6 +121,9 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
             stop = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        trim_memory(collect=False)
+    trim_memory()
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

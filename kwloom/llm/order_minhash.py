@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kwloom.llm.base import sliced, stored
+from kwloom.llm.base import sent_if_small, sliced, stored
 from kwloom.llm.components import components
 from kwloom.llm.hashing import Words, mixed
 
@@ -27,8 +27,10 @@ SKETCHES, MINIMA = 24, 4
 #: Texts of a bucket with more texts are compared by their rare shingles, in blocks of about so many.
 BUCKET, BLOCK = 16, 512
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, (2, SKETCHES, 1), dtype=np.uint64) | np.uint64(1)
-#: Draws made at a time: all sketches of a text together, of very long texts one by one.
-DRAWS = 1 << 22
+#: Draws made at a time: all sketches of a text together, of long texts a few by a few.
+DRAWS = 1 << 19
+#: Bytes of text worked on at a time.
+PIECE = 1 << 19
 
 
 def normal(text: str | Column) -> Column:
@@ -150,7 +152,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", PIECE):
             parts = shingles(Words.of(batch.column("text")), size)
             values = [sketch(p).view(np.int64) for p in parts if len(p)]
             ends = np.cumsum([0, *(SKETCHES if len(p) else 0 for p in parts)])
@@ -198,7 +200,7 @@ def _labelled(texts: DataFrame, size: int) -> DataFrame:
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", PIECE):
             parts = [label(p) for p in shingles(Words.of(batch.column("text")), size)]
             lengths = np.array(list(map(len, parts)), dtype=np.int32)
             flat = np.concatenate([*parts, np.zeros(0, dtype=np.uint64)]).view(np.int64)
@@ -299,7 +301,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "left", 2 << 20):
+        for batch in sliced(batches, "left", PIECE):
             left = shingles(Words.of(batch.column("left")), size)
             right = shingles(Words.of(batch.column("right")), size)
             keep = pa.array([similar(x, y, threshold) for x, y in zip(left, right, strict=True)], pa.bool_())
@@ -337,7 +339,7 @@ def near_duplicates(
     found, crowd = candidate_pairs(reps.select("id", "n", "sketch"), threshold)
     pairs = stored(found)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowd.select("id")).distinct()
-    wanted = reps.select("id", "digest").join(ids, "id", "left_semi")
+    wanted = sent_if_small(stored(reps.select("id", "digest").join(ids, "id", "left_semi")))
     texts = stored(known.join(wanted, ["id", "digest"], "left_semi").select("id", "text").dropDuplicates(["id"]))
     links = stored(verified(pairs, texts, size, threshold))
     crowded = stored(crowded_links(texts.join(crowd, "id"), size, threshold))

@@ -29,9 +29,9 @@ DEPTH, SLICE_BITS = 2, 22
 #: the result stays the same.
 CELL_BITS = (22, 30)
 #: Windows a task sketches at a time, and repeated windows it compares at a time.
-FLUSH, COMPARED = 5_000_000, 400_000
+FLUSH, COMPARED = 3_000_000, 400_000
 #: Bytes of text hashed at a time.
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -61,13 +61,17 @@ def _sketches(docs: DataFrame, window: int, bits: int) -> DataFrame:
     def flushed(hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
         low = min(SLICE_BITS, bits)
         for row in range(DEPTH):
-            cells = np.sort(_cells(hashes, row, bits))
+            cells = np.empty(len(hashes), dtype=np.uint32)
+            for b in range(0, len(hashes), COMPARED):  # small copies only
+                cells[b:b + COMPARED] = _cells(hashes[b:b + COMPARED], row, bits)
+            cells.sort()
             first = np.ones(len(cells), dtype=bool)
-            first[1:] = cells[1:] != cells[:-1]
+            np.not_equal(cells[1:], cells[:-1], out=first[1:])
             again = np.unique(cells[~first])
             cells = cells[first]
             mask = np.uint32((1 << low) - 1)
-            for part in np.unique(cells >> np.uint32(low)).tolist():
+            parts = cells >> np.uint32(low)
+            for part in parts[np.flatnonzero(np.diff(parts, prepend=parts[:1] + np.uint32(1)))].tolist():
                 ends = [part << low, (part + 1) << low]
                 one, two = (x[slice(*np.searchsorted(x, ends))] & mask for x in (cells, again))
                 yield pa.RecordBatch.from_pydict({
@@ -77,15 +81,17 @@ def _sketches(docs: DataFrame, window: int, bits: int) -> DataFrame:
                 })
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = np.empty(0, dtype=np.uint64), 0
         for batch in sliced(batches, "text", PIECE):
-            held.append(Words.of(batch.column("text")).runs(window)[1])
-            size += len(held[-1])
-            if size >= FLUSH:
-                yield from flushed(np.concatenate(held))
-                held, size = [], 0
+            new = Words.of(batch.column("text")).runs(window)[1]
+            if size + len(new) > len(held):
+                if size:
+                    yield from flushed(held[:size])
+                size, held = 0, held if len(held) >= max(FLUSH, len(new)) else np.empty(max(FLUSH, len(new)), dtype=np.uint64)
+            held[size:size + len(new)] = new
+            size += len(new)
         if size:
-            yield from flushed(np.concatenate(held))
+            yield from flushed(held[:size])
 
     return docs.select("text").mapInArrow(run, "part int, once binary, more binary")
 

@@ -209,3 +209,33 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert ids[0] == {r.doc_id for r in added.sparkSession.read.parquet(f"{sf}/documents.parquet").collect()} | {902, None}
     assert 902 in ids[2] and 902 not in ids[3] and None in ids[4] and ids[3] == ids[4]
     assert len(ids[1]) < len(ids[0]) and len(ids[3]) > 0.8 * len(ids[0])
+
+
+def test_pipeline_stages_on_other_odd_tables(spark):
+    """Clashing columns, nulls everywhere, repeated rows, long texts and empty tables, stage by stage."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    names = ["id", "row", "said", "n_words", "kept", "packed", "place", "_column_0", "score", "digest"]
+    wide = docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    long = " ".join(f"the word of that number {i}" for i in range(30_000))
+    first = wide.first()
+    extra = [
+        {**first.asDict(), "doc_id": 7000, "text": long}, {**first.asDict(), "doc_id": 7001, "text": long.upper()},
+        {**first.asDict(), "doc_id": 7002, "text": "the one and the other of them"}, {**first.asDict(), "doc_id": 7002, "text": "the one and the other of them"},
+        dict.fromkeys(wide.columns),
+    ]
+    wide = base.stored(wide.union(spark.createDataFrame([tuple(r[c] for c in wide.columns) for r in extra], wide.schema)))
+    now = wide
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, wide.limit(0), sf).count() == 0
+        out = base.stored(stage(spark, now, sf))
+        if name == "byte_bpe":
+            assert out.count() == now.count()
+            continue
+        assert out.columns == wide.columns and out.where("doc_id is not null and said <> 'own said'").count() == 0
+        rows = [r.doc_id for r in out.select("doc_id").collect()]
+        if name == "language_id":
+            assert rows.count(7002) == 2 and 7000 in rows and None not in rows
+        else:
+            assert rows.count(7002) == 2 and 7001 not in rows and 7000 in rows
+        now = out
