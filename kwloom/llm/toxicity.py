@@ -20,7 +20,7 @@ from kwloom.llm.base import Sent, fold, sample_ids, sliced
 from kwloom.llm.hashing import mixed
 
 #: Words of a window; one starts at every word that has so many from there on.
-WINDOW = 8
+WINDOW = 6
 #: Labelled texts learned from, toxic and clean, each of at most so many characters.
 TOXIC, CLEAN, CHARS = 1500, 3000, 20_000
 #: Vectors: of words known (in three texts at least), of trigram slots, their sizes, hidden units, attention units.
@@ -32,7 +32,7 @@ AGAIN = 3
 #: Share of words shown as unknown in training.
 UNKNOWN = 0.15
 #: Words a task remembers, and windows it scores at a time.
-REMEMBERED, AT_ONCE = 120_000, 4096
+REMEMBERED, AT_ONCE = 120_000, 2048
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -129,13 +129,16 @@ class Network:
         """
         n, p = len(rows) - WINDOW + 1, self.p
         forth, back = (np.ascontiguousarray(g[rows].T) for g in gates)
+        for g in (forth, back):
+            g[:2 * HIDDEN] *= np.float32(0.5)
         # tanh gives both gates: a sigmoid is half a tanh of half its input, plus a half
         half = np.repeat(np.array([0.5, 0.5, 1.0], dtype=np.float32), HIDDEN)[:, None]
         states = np.empty((WINDOW, HIDDEN, n), dtype=np.float32)
 
         def step(x: np.ndarray, u: np.ndarray, h: np.ndarray, out: np.ndarray) -> None:
             hu = u @ h
-            zr = np.tanh(x[:2 * HIDDEN] * np.float32(0.5) + hu[:2 * HIDDEN])
+            zr = x[:2 * HIDDEN] + hu[:2 * HIDDEN]
+            np.tanh(zr, out=zr)
             zr *= np.float32(0.5)
             zr += np.float32(0.5)
             new = zr[HIDDEN:]
