@@ -217,6 +217,7 @@ def test_pipeline_stages_on_other_odd_tables(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
     names = ["id", "row", "said", "n_words", "kept", "packed", "place", "_column_0", "score", "digest"]
     wide = docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in wide.dtypes)  # all may be null
     long = " ".join(f"the word of that number {i}" for i in range(30_000))
     first = wide.first()
     extra = [
@@ -224,7 +225,7 @@ def test_pipeline_stages_on_other_odd_tables(spark):
         {**first.asDict(), "doc_id": 7002, "text": "the one and the other of them"}, {**first.asDict(), "doc_id": 7002, "text": "the one and the other of them"},
         dict.fromkeys(wide.columns),
     ]
-    wide = base.stored(wide.union(spark.createDataFrame([tuple(r[c] for c in wide.columns) for r in extra], wide.schema)))
+    wide = base.stored(wide.union(spark.createDataFrame([tuple(r[c] for c in wide.columns) for r in extra], kinds)))
     now = wide
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, wide.limit(0), sf).count() == 0
