@@ -102,3 +102,9 @@ def test_universal_terms(spark, monkeypatch, group):
     assert {"every", "most", "listed"} <= got and "half" not in got  # most has exactly four fifths
     assert {r.term for r in universal.universal_terms(df.limit(2), defaults=[]).collect()} == set()
     assert universal.universal_terms(df.where(F.lit(False)), defaults=["a"]).count() == 1
+
+
+def test_a_filter_of_many_hashes_stays_thin(spark):
+    found = grams.hash_filter(spark.range(16_000_000).select(F.xxhash64("id").alias("h")))
+    other = np.random.default_rng(1).integers(0, 2**64, 200_000, dtype=np.uint64)
+    assert found.passes(other).mean() < 0.03  # 0.14 with an eighth of the bits
