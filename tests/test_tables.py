@@ -308,3 +308,40 @@ def test_keyword_json_in_every_layout(spark, tmp_path):
         assert sorted(r["keyword"] for r in read_keyword_json(spark, str(tmp_path / name)).collect()) == ["a b", "c d"]
         assert read_keyword_json(spark, str(tmp_path / name), "c").count() == 1
     assert read_keyword_json(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_suggestions_are_opened_into_phrases_of_their_probe_only(spark, monkeypatch):
+    kw = spark.createDataFrame(
+        [(k, 1) for k in ("Red Villa design", "red villa", "villa design", "design cost", "Blue  Door handle", "red", None, "")], "keyword string, freq int"
+    )
+    stored = [
+        ("Red Villa", "red villa design cost"), ("red villa", "the red villa x"), ("villa design", "red villa design"),
+        ("design cost", "red villa design"), ("Blue Door", "blue  door handle set"), ("red", "red. villa"), (None, "red"),
+    ]
+    hints = spark.createDataFrame([(q, "en", "ae", s) for q, s in stored], "query string, lang string, country string, suggestion string")
+    opened = []
+    explode = F.explode
+    monkeypatch.setattr(assembly.F, "explode", lambda c: opened.append(c) or explode(c))
+    found = assembly.validate_with_suggestions(kw, hints, "ae")
+    hits = {r["keyword"] for r in found.collect() if r["validated"]}
+    assert hits == {"Red Villa design", "red villa", "villa design", "Blue  Door handle", "red"} and opened
+    # what the shuffle is given: phrases that some keyword under the probe can be
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "phrase" in plan.split("Generate")[0]
+
+
+def test_gap_report_reads_its_rankings_once(spark):
+    scans = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            scans.add(1)
+            yield batch
+
+    kw = spark.createDataFrame([("red villa", "red", 0.8, 0.2, True), ("blue door", "blue", 0.7, 0.3, False)],
+                               "keyword string, cluster string, opportunity_score double, difficulty double, validated boolean")
+    rivals = spark.createDataFrame([("a", "Red villa"), ("a", "red villa"), ("b", "green roof")], "competitor string, keyword string").coalesce(1)
+    report = gaps.gap_report(kw, rivals.mapInArrow(rows, rivals.schema))
+    assert report["summary"].collect()[0]["gap_count"] == 2
+    overlap = {r["competitor"]: (r["overlap_count"], r["unique_to_them_count"]) for r in report["competitor_analysis"].collect()}
+    assert overlap == {"a": (1, 0), "b": (0, 1)} and scans.value == 1
