@@ -124,38 +124,44 @@ def bilingual_keywords(
     include_locations: bool = True,
 ) -> Column:
     """Array of structs: the base keyword, then one per key location."""
-    text = tx.as_col(keyword)
-    kw = F.lower(text)
-    term = tx.let(
-        kw,
-        lambda k: F.get(F.filter(_terms(terms), lambda t: F.contains(k, t["english"])), F.lit(0)),
-    )
-    arabic = F.replace(kw, term["english"], term["arabic"])
-    dialect = (
-        F.coalesce(term["dialect"], tx.literal_array([]))
-        if include_dialects
-        else tx.literal_array([])
-    )
+    known = dict(locations)
 
-    def entry(english: Column, arabic_text: Column, variants: Column, location: bool) -> Column:
-        return F.struct(
-            english.alias("english"),
-            arabic_text.cast("string").alias("arabic"),
-            variants.alias("dialect_variants"),
-            F.lit(location).alias("is_location"),
-            term.isNotNull().alias("is_construction"),
-        )
+    def with_term(k: Column) -> Column:
+        found = F.get(F.filter(_terms(terms), lambda t: F.contains(k["kw"], t["english"])), F.lit(0))
+        return F.struct(k["text"].alias("text"), k["kw"].alias("kw"), found.alias("term"))
 
-    entries = [entry(text, arabic, dialect, False)]
-    known = dict(locations)
-    for place in key_locations if include_locations else ():
-        local = F.lit(None)
-        if include_arabic and place in known:
-            local = F.concat_ws(" ", F.coalesce(F.nullif(arabic, F.lit("")), text), F.lit(known[place]))
-        entries.append(
-            entry(F.concat_ws(" ", text, F.lit(place)), local, tx.literal_array([]), True)
+    def with_arabic(v: Column) -> Column:
+        arabic = F.replace(v["kw"], v["term"]["english"], v["term"]["arabic"])
+        return F.struct(v["text"].alias("text"), v["term"].alias("term"), arabic.alias("arabic"))
+
+    def entries(v: Column) -> Column:
+        text, arabic, term = v["text"], v["arabic"], v["term"]
+
+        def entry(english: Column, arabic_text: Column, variants: Column, location: bool) -> Column:
+            return F.struct(
+                english.alias("english"),
+                arabic_text.cast("string").alias("arabic"),
+                variants.alias("dialect_variants"),
+                F.lit(location).alias("is_location"),
+                term.isNotNull().alias("is_construction"),
+            )
+
+        dialect = (
+            F.coalesce(term["dialect"], tx.literal_array([]))
+            if include_dialects
+            else tx.literal_array([])
         )
-    return F.array(*entries)
+        made = [entry(text, arabic, dialect, False)]
+        for place in key_locations if include_locations else ():
+            local = F.lit(None)
+            if include_arabic and place in known:
+                local = F.concat_ws(" ", F.coalesce(F.nullif(arabic, F.lit("")), text), F.lit(known[place]))
+            made.append(entry(F.concat_ws(" ", text, F.lit(place)), local, tx.literal_array([]), True))
+        return F.array(*made)
+
+    text = tx.as_col(keyword)
+    start = F.struct(text.alias("text"), F.lower(text).alias("kw"))
+    return tx.let(tx.let(tx.let(start, with_term), with_arabic), entries)
 
 
 def bilingual_query(
