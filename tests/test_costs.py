@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kwloom.functions import bilingual, classify
 from kwloom.functions import text as tx
-from kwloom.operators import assembly, candidates, gaps, universal
+from kwloom.operators import assembly, candidates, clustering, gaps, universal
 
 TEXTS = ["red villa", " a\tb  c ", "", " ", None, "A b", "villa-design cost, low", "x y z", "ab ab ab", "best villa", "b", "é日 本 straße x"]
 
@@ -90,3 +90,14 @@ def test_the_term_of_a_keyword_is_looked_up_once(spark):
     ]
     logical = kw.select(made.alias("made"))._jdf.queryExecution().optimizedPlan().toString()
     assert logical.count("filter(") == 1
+
+
+def test_cluster_names_look_up_only_the_most_frequent(spark, monkeypatch):
+    rows = [(0, "red villa", 2), (0, "villa red", 1), (0, "old door", 0), (1, "red villa", 5), (1, "villa red", 4), (2, "a b", 9), (2, None, 8), (None, "x y", 7), (3, "a", None)]
+    table = spark.createDataFrame(rows, "cluster_id int, keyword string, ord int").repartition(3)
+    stored, cut = [], clustering.cut_lineage
+    monkeypatch.setattr(clustering, "cut_lineage", lambda df: stored.append(cut(df)) or stored[-1])
+    got = {r.cluster_id: r.cluster for r in clustering.cluster_names(table, order_col="ord").collect()}
+    # both words of a cluster are met twice: the one that stands first in order names it
+    assert got == {0: "cluster-villa", 1: "cluster-villa-1", 2: "cluster-a-b", 3: "cluster-misc", None: "cluster-misc"}
+    assert {(r[0], r[1]) for r in stored[0].collect()} == {(0, "red"), (0, "villa"), (1, "red"), (1, "villa"), (2, "a b")}
