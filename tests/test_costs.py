@@ -4,9 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from kwloom.functions import bilingual, classify
+from kwloom.functions import bilingual, classify, scoring
 from kwloom.functions import text as tx
-from kwloom.operators import assembly, candidates, clustering, gaps, universal
+from kwloom.operators import assembly, candidates, clustering, gaps, metrics, universal
 
 TEXTS = ["red villa", " a\tb  c ", "", " ", None, "A b", "villa-design cost, low", "x y z", "ab ab ab", "best villa", "b", "é日 本 straße x"]
 
@@ -101,3 +101,63 @@ def test_cluster_names_look_up_only_the_most_frequent(spark, monkeypatch):
     # both words of a cluster are met twice: the one that stands first in order names it
     assert got == {0: "cluster-villa", 1: "cluster-villa-1", 2: "cluster-a-b", 3: "cluster-misc", None: "cluster-misc"}
     assert {(r[0], r[1]) for r in stored[0].collect()} == {(0, "red"), (0, "villa"), (1, "red"), (1, "villa"), (2, "a b")}
+
+
+def test_phrases_shorter_than_the_probe_are_not_opened(spark):
+    rng = random.Random(5)
+    pieces = ["red", "a", " ", " ", "villa", ".", "é", "İ", "\t"]
+    words = ["".join(rng.choices(pieces, k=rng.randint(1, 7))) for _ in range(250)]
+    kw = spark.createDataFrame([(w, 1) for w in [*words[:150], *words[:20], None, ""]], "keyword string, freq int").repartition(3)
+    sug = spark.createDataFrame([(w,) for w in words[80:]], "keyword string").select(
+        assembly.probe("keyword").alias("query"), F.lit("en").alias("lang"), F.lit("us").alias("country"), F.col("keyword").alias("suggestion")
+    )
+    got = sorted(map(tuple, assembly.validate_with_suggestions(kw, sug).collect()))
+    low = tx.strip(F.lower("keyword"))
+    asked = kw.where("keyword <> ''").select("keyword").distinct().withColumn("query", assembly.probe("keyword")).withColumn("phrase", low)
+    every = F.explode(assembly._matched_phrases(tx.strip(F.lower("suggestion")), F.lit(20)))
+    want = asked.join(sug.select("query", every.alias("phrase")).distinct().withColumn("hit", F.lit(True)), ["query", "phrase"], "left")
+    assert got == sorted(map(tuple, want.select("keyword", F.coalesce("hit", F.lit(False))).collect()))
+    assert 10 < sum(v for _, v in got) < len(got)
+    opened = spark.createDataFrame([("red villa cost", "red", 3)], "s string, lead string, least int")
+    assert opened.select(assembly._matched_phrases(F.col("s"), F.lit(5), F.col("lead"), F.col("least"))).first()[0] == ["red villa", "red villa cost"]
+
+
+def test_features_fold_case_once(evaluate, spark):
+    triggers = (("a", ("RED", "villa")), ("featured_snippet", ("door", "é")), ("b", ()))
+    table = spark.createDataFrame([("Best VILLA", "informational"), ("é door", "informational"), ("x", "local"), (None, "commercial"), ("red", None)], "keyword string, intent string")
+    found = scoring.serp_features("keyword", "intent", triggers)
+    assert [r[0] for r in table.select(found).collect()] == [["a", "people_also_ask"], ["featured_snippet"], ["local_pack"], ["top_ads"], []]
+    assert table.select(found.alias("f"))._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def test_a_short_list_of_values_goes_to_the_rows(spark):
+    table = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 2.0), ("d", None), ("a", 1.0)], "keyword string, v double").repartition(3)
+    out = metrics.percentile_rank(table, "v", "rank")
+    assert sorted(((r.keyword, r["rank"]) for r in out.collect()), key=repr) == [("a", 0.5), ("a", 0.5), ("b", 0.9), ("c", 0.9), ("d", None)]
+    assert "hashpartitioning" not in plan(out)
+
+
+def test_a_short_list_of_terms_goes_to_the_rows(spark, monkeypatch):
+    rows = [("the villa",), ("The the of",), ("wall",), (None,), (" ",), ("of villa the",)]
+    kw = spark.createDataFrame(rows, "keyword string").repartition(3)
+    terms = spark.createDataFrame([("the",), ("of",), (None,)], "term string").repartition(2)
+    ranked = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    kept, scored = universal.drop_entirely_universal(kw, terms), universal.with_universal_penalty(kw, terms)
+    assert "hashpartitioning" not in plan(kept) + plan(scored)
+    twice = terms.unionByName(terms.limit(0)).union(spark.createDataFrame([("a\x1fb",)], "term string"))
+    for other in (twice, terms):
+        if other is terms:
+            monkeypatch.setattr(universal, "LISTED", 0)
+        assert ranked(universal.drop_entirely_universal(kw, other)) == ranked(kept)
+        assert ranked(universal.with_universal_penalty(kw, other)) == ranked(scored)
+    assert len(ranked(kept)) == 5 and {r.keyword: round(r.universal_penalty, 3) for r in scored.collect()} == {
+        "the villa": 0.3, "The the of": 0.6, "wall": 0.0, None: 0.0, " ": 0.0, "of villa the": 0.6
+    }
+    assert scored.schema == universal.with_universal_penalty(kw, twice).schema
+
+
+def test_gaps_are_stored_before_they_are_sorted(spark):
+    kw = spark.createDataFrame([("red villa", 0.9, 0.1), ("blue door", 0.7, 0.2)], "keyword string, opportunity_score double, difficulty double")
+    rankings = spark.createDataFrame([("c", "Blue door")], "competitor string, keyword string")
+    for out, first in ((gaps.competitor_gaps(kw, rankings), "red villa"), (gaps.content_gaps(kw, None, rankings), "red villa")):
+        assert out.first()["keyword"] == first and "Join" not in plan(out)
