@@ -108,3 +108,26 @@ def test_a_filter_of_many_hashes_stays_thin(spark):
     found = grams.hash_filter(spark.range(16_000_000).select(F.xxhash64("id").alias("h")))
     other = np.random.default_rng(1).integers(0, 2**64, 200_000, dtype=np.uint64)
     assert found.passes(other).mean() < 0.03  # 0.14 with an eighth of the bits
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_hashes_are_counted_by_slice(spark, monkeypatch, least):
+    monkeypatch.setattr(grams, "CHUNK", 64)
+    monkeypatch.setattr(grams, "HELD", 50)
+    rows = [(t,) for _, t in corpus(7)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "t string").repartition(3)
+
+    def every(tokens):
+        first, _, h = tokens.grams(1, 2)
+        at, _, of = grams.counted(h, tokens.row[first])
+        return h[at], of
+
+    table = grams.hash_counts(df, "t", every, least)
+    tokens = grams.Tokens.of(pa.array([t for t, in rows], pa.string()))
+    first, _, h = tokens.grams(1, 2)
+    want = Counter(int(x) for x, _ in {(x, r) for x, r in zip(h.view(np.int64).tolist(), tokens.row[first].tolist(), strict=True)})
+    got = table.collect()
+    assert {r.h: r.df for r in got} == {x: n for x, n in want.items() if n >= least} and len(got) == len({r.h for r in got})
+    # what crosses the shuffle are slices, not hashes
+    assert "hashpartitioning(slice" in table._jdf.queryExecution().executedPlan().toString()
+    assert grams.hash_counts(df.limit(0), "t", every).count() == 0
